@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, sharding
+from . import bpe, chat, decontaminate, sharding
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op10_sharding": sharding.op10_sharding,
 }
