@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, sharding
+from . import bpe, chat, decontaminate, sharding, simhash
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op4_simhash": simhash.op4_simhash,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op10_sharding": sharding.op10_sharding,
