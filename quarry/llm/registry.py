@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, sharding, simhash, toxicity
+from . import bpe, chat, decontaminate, embeddings, sharding, simhash, toxicity
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_embeddings": embeddings.op6_embeddings,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op10_sharding": sharding.op10_sharding,
