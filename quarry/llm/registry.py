@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, embeddings, sharding, simhash, toxicity
+from . import bpe, chat, decontaminate, embeddings, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_embeddings": embeddings.op6_embeddings,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_suffix_array": suffix_dedup.op9_suffix_array,
     "op10_sharding": sharding.op10_sharding,
 }
 
