@@ -165,7 +165,7 @@ def _packed(first, count, tag) -> np.ndarray:
 
 
 def _sortable(*keys: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(np.column_stack([k.astype(">u8") for k in keys])).view(f"S{8 * len(keys)}").ravel()
+    return np.column_stack(keys).astype(">u8").view(f"S{8 * len(keys)}").ravel()
 
 
 ROWS = "bucket int, core long, whole long, uid long, packed long"
