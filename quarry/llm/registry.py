@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, embeddings, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from . import bpe, chat, decontaminate, embeddings, line_dedup, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_simhash": simhash.op4_simhash,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
 }
