@@ -1,17 +1,57 @@
-"""The corpus pipeline: five stages over the documents table."""
+"""The corpus pipeline: toxicity, line dedup, near-dedup, decontamination, tokenisation.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that its
+predecessor kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quarry.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from quarry.llm.common import cut, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go. Labels are learned from the rows of ``docs`` itself."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go from the texts."""
+    return line_dedup.clean(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated with benchmark passages go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded bytes."""
+    return bpe.round_trip(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("bpe", tokenise),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # a fitted model and fingerprints are beyond SQL; tests hold each stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages in order to the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """Apply the stages in order to the documents table, each to what the one before has written down."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if k == 0 else cut(docs), sf_dir)
     return docs
