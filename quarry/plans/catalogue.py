@@ -1,6 +1,607 @@
-"""Registered queries and the DuckDB SQL each one is held against."""
+"""Registered queries and the DuckDB SQL each one is held against.
+
+Tables play these roles: documents are the collection, benchmark the queries,
+embeddings the dense vectors (queries: every id divisible by 100) and, eight
+in a row, the token vectors of a passage. Floats are rounded to 9 places
+before they are ranked or returned, in both engines.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codes as C
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import dense, encoders, ivf, judge, lexical, metrics, mining, multivector, sampling, sparse
+from ..sources import readers, sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+K = 100
+CUTOFFS = [-0.1, 0.0, 0.1]
+WEIGHTS = [-0.15, -0.05, 0.05, 0.15]
+CODEC = ivf.Codec(CUTOFFS, WEIGHTS)
+N_CENTROIDS, NPROBE = 16, 4
+
+
+def query(sql: str | None = None):
+    """Register a function as the query of its name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _collection(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("contents"))
+
+
+def _topics(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+
+
+def _vector_queries(spark, d):
+    return table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+
+
+def _tokens(spark, d):
+    """Token vectors: eight neighbouring vectors are one passage."""
+    return table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("pid"), (F.col("vec_id") % 8).alias("pos"), F.col("embedding").alias("v"))
+
+
+def _token_queries(spark, d):
+    return _tokens(spark, d).filter("pid % 100 = 0").select(F.col("pid").alias("query_id"), "pos", "v")
+
+
+def _centroids(spark, d):
+    return table(spark, d, "embeddings").filter(f"vec_id < {N_CENTROIDS}").select(F.col("vec_id").alias("centroid_id"), F.col("embedding").alias("v"))
+
+
+def _sparse(spark, d, name, id_col, out):
+    counts = lexical.term_counts(table(spark, d, name), id_col, "text")
+    return counts.select(F.col(id_col).alias(out), F.col("term").alias("token"), F.log1p(F.col("tf").cast("double")).alias("weight"))
+
+
+def _judged(spark, d):
+    return judge.containment(_topics(spark, d), table(spark, d, "documents").select("doc_id", "text"))
+
+
+def _bm25(spark, d, k):
+    return lexical.search(lexical.build(_collection(spark, d)), _topics(spark, d), k)
+
+
+# ---------------------------------------------------------------- SQL pieces
+
+TOK = r"string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+')".format
+
+TERMS = f"""
+dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK('text')}) AS term FROM documents) WHERE term <> '' GROUP BY ALL),
+dl AS (SELECT doc_id, sum(tf) AS dl FROM dt GROUP BY doc_id),
+df AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOK('text')}) AS term FROM benchmark) WHERE term <> '' GROUP BY ALL)
+"""
+
+
+def _bm25_sql(k: int) -> str:
+    return f"""{TERMS},
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+sc AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 0.82 * (1 - 0.68 + 0.68 * dl / avgdl))), 9) AS score
+  FROM qt JOIN dt USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= {k})"""
+
+
+QRELS = "qrels AS (SELECT item_id AS query_id, doc_id, 1 AS relevance FROM benchmark b, documents d WHERE contains(d.text, b.text))"
+VECTOR_RUN = """
+v AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
+q AS (SELECT vec_id AS query_id, v AS qv, label AS qlabel FROM v WHERE vec_id % 100 = 0),
+sc AS (SELECT query_id, vec_id AS doc_id, round(list_dot_product(qv, v), 9) AS score FROM q, v WHERE query_id <> vec_id),
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 1000),
+qrels AS (SELECT query_id, vec_id AS doc_id, 1 AS relevance FROM q JOIN v ON q.qlabel = v.label AND q.query_id <> v.vec_id)"""
+
+
+def _metrics_sql(ks, distinct: bool = False) -> str:
+    rows = ", ".join(f"({k})" for k in ks)
+    return f"""
+rel AS (SELECT query_id, doc_id FROM qrels WHERE relevance > 0),
+nr AS (SELECT query_id, {'count(DISTINCT doc_id)' if distinct else 'count(*)'} AS n_rel FROM rel GROUP BY query_id),
+h AS (SELECT r.query_id, r.rank, p.doc_id IS NOT NULL AS hit FROM run r LEFT JOIN (SELECT DISTINCT * FROM rel) p ON r.query_id = p.query_id AND r.doc_id = p.doc_id),
+ks(k) AS (VALUES {rows}),
+e AS (SELECT query_id, k, n_rel, count(*) FILTER (WHERE hit AND rank <= k) AS hits, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE hit AND rank <= k), 0) AS dcg, min(rank) FILTER (WHERE hit AND rank <= k) AS f
+  FROM h JOIN nr USING (query_id), ks GROUP BY ALL),
+m AS (SELECT k, hits / n_rel AS recall, dcg / list_sum(list_transform(range(1, least(n_rel, k) + 1), lambda i: 1 / log2(i + 1))) AS ndcg, coalesce(1.0 / f, 0) AS mrr FROM e),
+metrics AS (SELECT 'Recall' AS metric, ks.k, round(coalesce(avg(recall), 0), 9) AS value FROM ks LEFT JOIN m USING (k) GROUP BY ALL
+  UNION ALL SELECT 'nDCG', ks.k, round(coalesce(avg(ndcg), 0), 9) FROM ks LEFT JOIN m USING (k) GROUP BY ALL
+  UNION ALL SELECT 'MRR', ks.k, round(coalesce(avg(mrr), 0), 9) FROM ks LEFT JOIN m USING (k) GROUP BY ALL)"""
+
+
+SPARSE = f"""
+dw AS (SELECT doc_id, term AS token, ln(1 + count(*)) AS w FROM (SELECT doc_id, unnest({TOK('text')}) AS term FROM documents) WHERE term <> '' GROUP BY ALL),
+qw AS (SELECT query_id, term AS token, ln(1 + count(*)) AS w FROM (SELECT item_id AS query_id, unnest({TOK('text')}) AS term FROM benchmark) WHERE term <> '' GROUP BY ALL),
+pr AS (SELECT doc_id, token, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, token) AS r FROM dw) WHERE r <= 50)"""
+
+TOKENS = """
+t AS (SELECT vec_id // 8 AS pid, vec_id % 8 AS pos, embedding::DOUBLE[] AS v FROM embeddings),
+qt AS (SELECT pid AS query_id, pos AS q_pos, v AS qv FROM t WHERE pid % 100 = 0)"""
+
+ASSIGNED = f"""
+c AS (SELECT vec_id AS centroid_id, embedding::DOUBLE[] AS cv FROM embeddings WHERE vec_id < {N_CENTROIDS}),
+a AS (SELECT vec_id, embedding::DOUBLE[] AS v, centroid_id, cv FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(embedding::DOUBLE[], cv), 12) DESC, centroid_id) AS r FROM embeddings, c) WHERE r = 1),
+x AS (SELECT vec_id, centroid_id, list_transform(range(1, len(v) + 1), lambda i: v[i] - cv[i]) AS res FROM a)"""
+
+CODES = "list_transform(res, lambda y: (y > -0.1)::INT + (y > 0.0)::INT + (y > 0.1)::INT)"
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(text, '') AS contents, '' AS title FROM documents")
+def normalize_collection(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("_id"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("title"), "text")
+    return readers.normalise_beir_corpus(rows)
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS id, coalesce(text, '') AS text FROM benchmark")
+def normalize_queries(spark, d):
+    rows = table(spark, d, "benchmark").select(F.lit(None).cast("string").alias("_id"), F.col("item_id").cast("string").alias("id"), "text")
+    return readers.normalise_beir_queries(rows)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, replace(text, chr(10), ' ') AS contents, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS title FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(9))")
+def parse_collection_tsv(spark, d):
+    fields = F.concat_ws("\t", F.col("doc_id").cast("string"), F.replace("text", F.lit("\n"), F.lit(" ")), F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    return readers.parse_collection(table(spark, d, "documents").filter("text is not null and not contains(text, '\t')").select(fields.alias("value")))
+
+
+SCORES = "CASE doc_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN '1.9' WHEN 3 THEN '-2' WHEN 4 THEN 'x' ELSE '3' END"
+
+
+@query(f"""SELECT query_id, doc_id, relevance FROM (SELECT CAST(quality AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id,
+  CAST(coalesce(trunc(TRY_CAST({SCORES} AS DOUBLE)), 0) AS INT) AS relevance FROM labels) WHERE relevance >= 1""")
+def normalize_qrels(spark, d):
+    lines = table(spark, d, "labels").select(F.concat_ws("\t", F.col("quality").cast("string"), F.col("doc_id").cast("string"), F.expr(SCORES)).alias("value"))
+    header = spark.range(1).select(F.lit("query-id\tcorpus-id\tscore").alias("value"))
+    return readers.parse_beir_qrels(lines.unionByName(header))
+
+
+@query("SELECT CAST(quality AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(toxic AS INT) AS relevance FROM labels WHERE toxic >= 1")
+def parse_trec_qrels(spark, d):
+    line = F.concat_ws("\t", F.col("quality").cast("string"), F.lit("0"), F.col("doc_id").cast("string"), F.col("toxic").cast("string"))
+    return readers.parse_trec_qrels(table(spark, d, "labels").filter("quality is not null and toxic is not null").select(line.alias("value")))
+
+
+@query("SELECT source, max(doc_id) AS doc_id, arg_max(lang, doc_id) AS lang FROM documents GROUP BY source")
+def dedup_last_wins(spark, d):
+    rows = table(spark, d, "documents").select("source", "doc_id", "lang")
+    return readers.last_wins(rows.withColumn("_n", F.col("doc_id")), "source", "_n").drop("_n")
+
+
+@query("SELECT lang AS query_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY n_chars DESC, doc_id) AS docs FROM documents GROUP BY lang")
+def dev_group_ordered(spark, d):
+    ranked = table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").alias("i")).alias("rank"))
+    return readers.grouped_in_order(ranked).select("query_id", F.array_join("doc_ids", ",").alias("docs"))
+
+
+@query("SELECT count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line, ' ') <> ''")
+def line_count(spark, d):
+    return readers.line_count(table(spark, d, "documents").select(F.explode(F.split("text", "\n", -1)).alias("value")))
+
+
+@query("SELECT min('epoch=' || vec_id || '-val_mrr_10=0.' || (vec_id % 97 + 100) || '.ckpt') AS name FROM embeddings WHERE vec_id % 97 = (SELECT max(vec_id % 97) FROM embeddings)")
+def best_checkpoint(spark, d):
+    name = F.concat(F.lit("epoch="), F.col("vec_id").cast("string"), F.lit("-val_mrr_10=0."), (F.col("vec_id") % 97 + 100).cast("string"), F.lit(".ckpt"))
+    return readers.best_checkpoint(table(spark, d, "embeddings").select(name.alias("name")))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query(f"SELECT term, count(*) AS cf FROM (SELECT unnest({TOK('text')}) AS term FROM documents) WHERE term <> '' GROUP BY term")
+def tokenize_terms(spark, d):
+    return table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
+
+
+@query(f"WITH {TERMS} SELECT doc_id, CAST(dl AS BIGINT) AS dl FROM dl")
+def doc_lengths(spark, d):
+    return lexical.doc_lengths(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"WITH {TERMS} SELECT term, df FROM df")
+def term_doc_freq(spark, d):
+    return lexical.doc_freq(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id, coalesce(source, '') || ' ' || coalesce(text, '') AS passage FROM documents")
+def passage_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.passage(F.col("source"), F.col("text")).alias("passage"))
+
+
+@query(f"""WITH t AS (SELECT item_id, list_filter({TOK('text')}, lambda x: x <> '')[1:29] AS ts FROM benchmark)
+SELECT item_id, array_to_string(list_concat(['[CLS]', '[Q]'], ts, ['[SEP]'], list_transform(range(29 - len(ts)), lambda x: '[MASK]')), ' ') AS tokens FROM t""")
+def late_query_tokens(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(T.late_query(F.col("text"), 32), " ").alias("tokens"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_filter({TOK('text')}, lambda x: x <> '')[1:217] AS ts FROM documents)
+SELECT doc_id, array_to_string(list_concat(['[CLS]', '[D]'], ts, ['[SEP]'], list_transform(range(217 - len(ts)), lambda x: '[PAD]')), ' ') AS tokens, CAST(len(ts) + 3 AS BIGINT) AS doclen FROM t""")
+def late_doc_tokens(spark, d):
+    padded = T.late_doc(F.col("text"), 220)
+    length = F.aggregate(T.attention(F.col("p")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return table(spark, d, "documents").select("doc_id", padded.alias("p")).select("doc_id", F.array_join("p", " ").alias("tokens"), length.alias("doclen"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_concat(list_filter({TOK('source')}, lambda x: x <> ''), ['[SEP]'], list_filter({TOK('text')}, lambda x: x <> ''))[1:254] AS ts FROM documents)
+SELECT doc_id, array_to_string(list_concat(['[CLS]'], ts, ['[SEP]']), ' ') AS tokens FROM t""")
+def passage_pair_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.passage_pair(F.col("source"), F.col("text"), 256), " ").alias("tokens"))
+
+
+# ---------------------------------------------------------------- lexical
+
+
+@query(f"WITH {_bm25_sql(K)} SELECT query_id, doc_id, score, rank FROM run")
+def bm25_topk(spark, d):
+    return _bm25(spark, d, K)
+
+
+@query(f"WITH {_bm25_sql(1000)}, {QRELS}, {_metrics_sql(metrics.KS)} SELECT * FROM metrics")
+def eval_bm25_run(spark, d):
+    found = metrics.evaluate(_bm25(spark, d, 1000), _judged(spark, d))
+    return found.withColumn("value", F.round("value", 9))
+
+
+# ---------------------------------------------------------------- dense
+
+
+def _vector_sql(score: str, order: str) -> str:
+    return f"""WITH v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT doc_id AS query_id, v AS qv FROM v WHERE doc_id % 100 = 0),
+sc AS (SELECT query_id, doc_id, round({score}, 9) AS score FROM q, v)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {order}, doc_id) AS rank FROM sc) WHERE rank <= {K}"""
+
+
+@query(_vector_sql("list_dot_product(qv, v)", "DESC"))
+def dense_ip_topk(spark, d):
+    return dense.search(_vector_queries(spark, d), _vectors(spark, d), K)
+
+
+@query(_vector_sql("list_distance(list_transform(qv, lambda x: 2 * x), v)", "ASC"))
+def dense_l2_topk(spark, d):
+    doubled = _vector_queries(spark, d).withColumn("v", F.transform(V.doubles(F.col("v")), lambda x: 2 * x))
+    return dense.search(doubled, _vectors(spark, d), K, metric="l2")
+
+
+def _vector_run(spark, d):
+    return dense.search(_vector_queries(spark, d), _vectors(spark, d), 1000, exclude_self=True)
+
+
+def _same_label(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    return q.join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").filter("query_id <> doc_id").select("query_id", "doc_id", F.lit(1).alias("relevance"))
+
+
+def _vector_metrics(spark, d, ks, name):
+    found = metrics.evaluate(_vector_run(spark, d), _same_label(spark, d), ks)
+    return found.filter(F.col("metric") == name).select("k", F.round("value", 9).alias("value"))
+
+
+@query(f"WITH {VECTOR_RUN}, {_metrics_sql(metrics.KS)} SELECT k, value FROM metrics WHERE metric = 'Recall'")
+def eval_recall(spark, d):
+    return _vector_metrics(spark, d, metrics.KS, "Recall")
+
+
+@query(f"WITH {VECTOR_RUN}, {_metrics_sql(metrics.KS)} SELECT k, value FROM metrics WHERE metric = 'nDCG'")
+def eval_ndcg(spark, d):
+    return _vector_metrics(spark, d, metrics.KS, "nDCG")
+
+
+@query(f"WITH {VECTOR_RUN}, {_metrics_sql(metrics.KS)} SELECT k, value FROM metrics WHERE metric = 'MRR'")
+def eval_mrr(spark, d):
+    return _vector_metrics(spark, d, metrics.KS, "MRR")
+
+
+@query(f"WITH {VECTOR_RUN}, {_metrics_sql((10,), True)} SELECT * FROM metrics")
+def eval_all_metrics(spark, d):
+    """Distinct judgements: every judgement given twice counts once."""
+    twice = _same_label(spark, d)
+    return metrics.evaluate(_vector_run(spark, d), twice.unionByName(twice), (10,), distinct=True).withColumn("value", F.round("value", 9))
+
+
+@query(f"""WITH {VECTOR_RUN}, {_metrics_sql((1, 10, 100))} SELECT metric, '{{' || string_agg('"' || k || '":' || CAST(round(value, 4) AS DOUBLE), ',' ORDER BY k) || '}}' AS json FROM metrics GROUP BY metric""")
+def metrics_nested(spark, d):
+    return sinks.metrics_json(metrics.evaluate(_vector_run(spark, d), _same_label(spark, d), (1, 10, 100)))
+
+
+@query("SELECT vec_id, dim - 1 AS dim, round(x / norm, 9) AS value FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS dim, unnest(embedding::DOUBLE[]) * (1 + vec_id % 3) AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * (1 + vec_id % 3) AS norm FROM embeddings)")
+def l2_normalize(spark, d):
+    scaled = F.transform(V.doubles(F.col("embedding")), lambda x: x * (1 + F.col("vec_id") % 3))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(V.l2_normalised(scaled)).alias("dim", "value")).withColumn("value", F.round("value", 9))
+
+
+@query("""SELECT pid, dim - 1 AS dim, round(sum(x * m) / greatest(sum(m), 1e-9), 9) AS value FROM (
+  SELECT vec_id // 8 AS pid, (CASE WHEN vec_id % 8 < 6 THEN 1 ELSE 0 END) AS m, generate_subscripts(embedding, 1) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY ALL""")
+def mean_pool(spark, d):
+    masked = _tokens(spark, d).withColumn("mask", (F.col("pos") < 6).cast("int"))
+    return V.mean_pool(masked, "pid", "v", "mask").withColumn("value", F.round("value", 9))
+
+
+@query("SELECT vec_id // 8 AS pid, round(embedding[1]::DOUBLE, 9) AS x0 FROM embeddings WHERE vec_id % 8 = 0")
+def cls_pool(spark, d):
+    return V.cls_pool(_tokens(spark, d), "pid", "pos", "v").select("pid", F.round(F.get("v", F.lit(0)).cast("double"), 9).alias("x0"))
+
+
+def _pairs_batched(spark, d):
+    v = table(spark, d, "embeddings")
+    q = v.filter("vec_id % 2 = 0").select(F.floor(F.col("vec_id") / 32).alias("batch_id"), (F.floor(F.col("vec_id") / 2) % 16).alias("i"), F.col("embedding").alias("q"))
+    p = v.filter("vec_id % 2 = 1").select(F.floor(F.col("vec_id") / 32).alias("batch_id"), (F.floor(F.col("vec_id") / 2) % 16).alias("i"), F.col("embedding").alias("d"))
+    return q.join(p, ["batch_id", "i"])
+
+
+IN_BATCH = """
+q AS (SELECT vec_id // 32 AS batch_id, (vec_id // 2) % 16 AS i, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 2 = 0),
+p AS (SELECT vec_id // 32 AS batch_id, (vec_id // 2) % 16 AS j, embedding::DOUBLE[] AS d FROM embeddings WHERE vec_id % 2 = 1),
+s AS (SELECT q.batch_id, i, j, round(list_dot_product(q, d), 9) AS score, i = j AS is_target FROM q JOIN p USING (batch_id)
+  WHERE (batch_id, i) IN (SELECT batch_id, j FROM p) AND (batch_id, j) IN (SELECT batch_id, i FROM q))"""
+
+
+@query(f"WITH {IN_BATCH} SELECT * FROM s")
+def in_batch_scores(spark, d):
+    return dense.in_batch_scores(_pairs_batched(spark, d))
+
+
+@query(f"WITH {IN_BATCH}, e AS (SELECT batch_id, i, ln(sum(exp(score))) - max(score) FILTER (WHERE is_target) AS loss FROM s GROUP BY ALL) SELECT batch_id, round(avg(loss), 9) AS loss FROM e GROUP BY batch_id")
+def in_batch_loss(spark, d):
+    return dense.in_batch_loss(dense.in_batch_scores(_pairs_batched(spark, d))).withColumn("loss", F.round("loss", 9))
+
+
+# ---------------------------------------------------------------- sparse
+
+
+@query("SELECT doc_id, term AS token, round(ln(1 + max(tf)), 9) AS weight FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(" + TOK("text") + ") AS term FROM documents) WHERE term <> '' GROUP BY ALL) GROUP BY ALL")
+def sparse_activate(spark, d):
+    counts = lexical.term_counts(table(spark, d, "documents"), "doc_id", "text")
+    logits = counts.select("doc_id", F.col("term").alias("token"), F.col("tf").alias("logit"))
+    return sparse.activate(logits, "doc_id").withColumn("weight", F.round("weight", 9))
+
+
+@query(f"WITH {SPARSE} SELECT doc_id, token, round(w, 9) AS weight FROM pr")
+def sparse_prune_topn(spark, d):
+    return sparse.prune(_sparse(spark, d, "documents", "doc_id", "doc_id"), 50, "doc_id").withColumn("weight", F.round("weight", 9))
+
+
+@query(f"""WITH {SPARSE}, sc AS (SELECT query_id, doc_id, round(sum(qw.w * pr.w), 9) AS score FROM qw JOIN pr USING (token) GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= {K}""")
+def sparse_dot_topk(spark, d):
+    postings = sparse.prune(_sparse(spark, d, "documents", "doc_id", "doc_id"), 50, "doc_id")
+    return sparse.search(_sparse(spark, d, "benchmark", "item_id", "query_id"), postings, K)
+
+
+@query("SELECT vec_id, dim - 1 AS token, round(x, 9) AS weight FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings) WHERE x > 0")
+def dense_to_sparse(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("v"))
+    return sparse.to_sparse(rows, "vec_id", "v").withColumn("weight", F.round("weight", 9))
+
+
+@query(f"WITH {SPARSE} SELECT round(avg(n), 9) AS mean_terms FROM (SELECT doc_id, count(*) AS n FROM pr GROUP BY doc_id)")
+def avg_terms(spark, d):
+    pruned = sparse.prune(_sparse(spark, d, "documents", "doc_id", "doc_id"), 50, "doc_id")
+    return sparse.mean_terms(pruned, "doc_id").withColumn("mean_terms", F.round("mean_terms", 9))
+
+
+@query(f"WITH {SPARSE}, m AS (SELECT token, sum(w) / 1000 AS a FROM dw GROUP BY token) SELECT round(sum(a * a), 6) AS flops FROM m")
+def flops_stat(spark, d):
+    return sparse.flops(_sparse(spark, d, "documents", "doc_id", "doc_id"), 1000).withColumn("flops", F.round("flops", 6))
+
+
+# ---------------------------------------------------------------- late interaction
+
+
+@query(f"""WITH {TOKENS}, b AS (SELECT query_id, q_pos, pid AS doc_id, max(list_dot_product(qv, v)) AS m FROM qt, t GROUP BY ALL),
+sc AS (SELECT query_id, doc_id, round(sum(m), 9) AS score FROM b GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= {K}""")
+def maxsim_exact_topk(spark, d):
+    docs = _tokens(spark, d).withColumnRenamed("pid", "doc_id")
+    return multivector.search(_token_queries(spark, d), docs, K)
+
+
+CANDIDATES = "cand AS (SELECT DISTINCT q.query_id, d.doc_id FROM (SELECT DISTINCT {q} AS query_id FROM {qt}) q, (SELECT DISTINCT {d} AS doc_id FROM {dt}) d WHERE d.doc_id % 7 = q.query_id // 100 % 7)"
+
+
+def _candidates(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Stand-in for a first-stage run: a seventh of the documents for each query, by arithmetic on the ids."""
+    q = queries.select("query_id").distinct().withColumn("b", F.floor(F.col("query_id") / 100) % 7)
+    return q.join(docs.select("doc_id").distinct().withColumn("b", F.col("doc_id") % 7), "b").select("query_id", "doc_id")
+
+
+@query(f"""WITH {TOKENS}, {CANDIDATES.format(q='query_id', qt='qt', d='pid', dt='t')},
+b AS (SELECT cand.query_id, q_pos, cand.doc_id, max(list_dot_product(qv, v)) AS m FROM cand JOIN qt USING (query_id) JOIN t ON t.pid = cand.doc_id GROUP BY ALL),
+sc AS (SELECT query_id, doc_id, round(sum(m), 9) AS score FROM b GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc""")
+def rerank_maxsim(spark, d):
+    docs, q = _tokens(spark, d).withColumnRenamed("pid", "doc_id"), _token_queries(spark, d)
+    return multivector.rerank(_candidates(q, docs), q, docs)
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), qq AS (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0), {CANDIDATES.format(q='vec_id', qt='qq', d='vec_id', dt='v')},
+sc AS (SELECT query_id, doc_id, round(list_dot_product(a.v, b.v), 9) AS score FROM cand JOIN v a ON a.vec_id = query_id JOIN v b ON b.vec_id = doc_id)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc""")
+def rerank_dense(spark, d):
+    q, docs = _vector_queries(spark, d), _vectors(spark, d)
+    return dense.rerank(_candidates(q, docs), q, docs)
+
+
+@query(f"""WITH {SPARSE}, {_bm25_sql(K)},
+sc2 AS (SELECT r.query_id, r.doc_id, round(coalesce(sum(qw.w * pr.w), 0), 9) AS score FROM run r JOIN qw ON qw.query_id = r.query_id LEFT JOIN pr ON pr.doc_id = r.doc_id AND pr.token = qw.token GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc2""")
+def rerank_sparse(spark, d):
+    postings = sparse.prune(_sparse(spark, d, "documents", "doc_id", "doc_id"), 50, "doc_id")
+    return sparse.rerank(_bm25(spark, d, K), _sparse(spark, d, "benchmark", "item_id", "query_id"), postings)
+
+
+# ---------------------------------------------------------------- inverted file and codec
+
+
+def _assigned(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return ivf.assign(rows, _centroids(spark, d))
+
+
+@query(f"WITH {ASSIGNED} SELECT vec_id, centroid_id, round(list_dot_product(v, cv), 9) AS score FROM a")
+def centroid_assign(spark, d):
+    return _assigned(spark, d).select("vec_id", "centroid_id", F.round("centroid_score", 9).alias("score"))
+
+
+@query(f"""WITH {ASSIGNED}, f AS (SELECT generate_subscripts(res, 1) - 1 AS dim, unnest(res) AS x FROM x)
+SELECT dim, round(avg(abs(x)), 9) AS avg_residual, (SELECT round(quantile_cont(x, 0.25), 9) FROM f) AS c1, (SELECT round(quantile_cont(x, 0.5), 9) FROM f) AS c2, (SELECT round(quantile_cont(x, 0.75), 9) FROM f) AS c3,
+  (SELECT round(quantile_cont(x, 0.125), 9) FROM f) AS w0, (SELECT round(quantile_cont(x, 0.875), 9) FROM f) AS w3 FROM f GROUP BY dim""")
+def residual_stats(spark, d):
+    r = ivf.residuals(_assigned(spark, d), _centroids(spark, d))
+    cutoffs, weights = ivf.cutoffs_and_weights(r.select(F.explode("residual").alias("x")), "x", 2)
+    constants = [F.round(F.lit(x), 9).alias(n) for n, x in zip(("c1", "c2", "c3", "w0", "w3"), (*cutoffs, weights[0], weights[3]))]
+    return ivf.mean_abs_residual(r).select("dim", F.round("avg_residual", 9).alias("avg_residual"), *constants)
+
+
+@query(f"WITH {ASSIGNED}, k AS (SELECT vec_id, {CODES} AS c FROM x) SELECT vec_id, array_to_string(list_transform(range(0, len(c) // 4), lambda j: (c[4*j+1] << 6) + (c[4*j+2] << 4) + (c[4*j+3] << 2) + c[4*j+4]), ',') AS code FROM k")
+def pack_codes(spark, d):
+    r = ivf.residuals(_assigned(spark, d), _centroids(spark, d))
+    return r.select("vec_id", F.array_join(C.pack(CODEC.encode(F.col("residual")), 2).cast("array<string>"), ",").alias("code"))
+
+
+@query(f"WITH {ASSIGNED} SELECT vec_id, array_to_string({CODES}, ',') AS codes FROM x")
+def unpack_codes(spark, d):
+    r = ivf.residuals(_assigned(spark, d), _centroids(spark, d))
+    packed = r.select("vec_id", C.pack(CODEC.encode(F.col("residual")), 2).alias("p"))
+    return packed.select("vec_id", F.array_join(C.unpack(F.col("p"), 2).cast("array<string>"), ",").alias("codes"))
+
+
+@query(f"""WITH {ASSIGNED}, n AS (SELECT centroid_id, count(*) AS length FROM a GROUP BY centroid_id)
+SELECT centroid_id, length, CAST(coalesce(sum(length) OVER (ORDER BY centroid_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM n""")
+def ivf_list_stats(spark, d):
+    return ivf.list_stats(_assigned(spark, d))
+
+
+PROBES = f"""{TOKENS}, {ASSIGNED},
+pb AS (SELECT * FROM (SELECT query_id, q_pos, qv, centroid_id, round(list_dot_product(qv, cv), 12) AS cs, row_number() OVER (PARTITION BY query_id, q_pos ORDER BY round(list_dot_product(qv, cv), 12) DESC, centroid_id) AS probe FROM qt, c) WHERE probe <= {NPROBE})"""
+
+
+@query(f"WITH {PROBES} SELECT query_id, q_pos, centroid_id, round(cs, 9) AS score, probe FROM pb")
+def ivf_probe_topk(spark, d):
+    q = _token_queries(spark, d).select("query_id", F.col("pos").alias("q_pos"), "v")
+    found = ivf.nearest(q, _centroids(spark, d), NPROBE)
+    return found.select("query_id", "q_pos", "centroid_id", F.round("centroid_score", 9).alias("score"), F.col("centroid_rank").alias("probe"))
+
+
+HITS = f"""{PROBES},
+cd AS (SELECT vec_id // 8 AS pid, centroid_id, list_transform({CODES}, lambda z: [-0.15, -0.05, 0.05, 0.15][z + 1]) AS w FROM x),
+ht AS (SELECT query_id, q_pos, pid, cs + list_dot_product(qv, w::DOUBLE[]) AS s FROM pb JOIN cd USING (centroid_id))"""
+
+
+def _hits(spark, d):
+    index = ivf.build(_tokens(spark, d), _centroids(spark, d), CODEC)
+    return ivf.candidates(_token_queries(spark, d), index, _centroids(spark, d), CODEC, NPROBE)
+
+
+@query(f"""WITH {HITS}, b AS (SELECT query_id, q_pos, pid, max(s) AS m FROM ht GROUP BY ALL), sc AS (SELECT query_id, pid AS doc_id, round(sum(m), 9) AS score FROM b GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= {K}""")
+def maxsim_compressed_topk(spark, d):
+    index = ivf.build(_tokens(spark, d), _centroids(spark, d), CODEC)
+    return ivf.search(_token_queries(spark, d), index, _centroids(spark, d), CODEC, K, NPROBE)
+
+
+@query(f"WITH {HITS} SELECT round(count(*) / count(DISTINCT (query_id, q_pos, pid)), 9) AS mean_duplicates FROM ht")
+def ivf_duplicate_rate(spark, d):
+    return ivf.duplicate_rate(_hits(spark, d)).withColumn("mean_duplicates", F.round("mean_duplicates", 9))
+
+
+@query("SELECT n, least(1 + CAST(floor(16 * sqrt(n)) AS BIGINT), n) AS sample_size, CAST(2 ** floor(log2(16 * sqrt(n))) AS BIGINT) AS partitions FROM (SELECT count(*) AS n FROM embeddings)")
+def sample_partition_counts(spark, d):
+    n = F.col("n")
+    size = F.least(1 + F.floor(16 * F.sqrt(n)), n)
+    return table(spark, d, "embeddings").agg(F.count("*").alias("n")).select("n", size.alias("sample_size"), F.pow(F.lit(2), F.floor(F.log2(16 * F.sqrt(n)))).cast("long").alias("partitions"))
+
+
+@query()
+def kmeans_centroids(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return ivf.train_centroids(rows, 16)
+
+
+@query()
+def dense_ann_topk(spark, d):
+    corpus = _vectors(spark, d)
+    centroids = ivf.train_centroids(corpus.withColumnRenamed("doc_id", "id"), 32)
+    return ivf.ann_search(_vector_queries(spark, d), corpus, centroids, 10, nprobe=24)
+
+
+@query()
+def encode_texts(spark, d):
+    return encoders.encode(table(spark, d, "documents"), encoders.HashingEncoder(64), "doc_id", "text")
+
+
+# ---------------------------------------------------------------- mining and shards
+
+MINED = f"""{_bm25_sql(K)}, {QRELS},
+fp AS (SELECT query_id, min(doc_id) AS pos_id FROM qrels GROUP BY query_id),
+ng AS (SELECT r.query_id, r.rank, r.doc_id FROM run r LEFT JOIN qrels p ON p.query_id = r.query_id AND p.doc_id = r.doc_id WHERE p.doc_id IS NULL),
+hn AS (SELECT query_id, pos_id, list(doc_id ORDER BY rank) AS neg_ids FROM fp JOIN ng USING (query_id) GROUP BY ALL)"""
+
+
+def _mined(spark, d):
+    qrels = _judged(spark, d).withColumn("line_no", F.col("doc_id"))
+    return mining.hard_negatives(_bm25(spark, d, K), qrels, K)
+
+
+@query(f"WITH {MINED} SELECT query_id, pos_id, array_to_string(neg_ids, ',') AS neg_ids FROM hn")
+def hard_negatives(spark, d):
+    return _mined(spark, d).withColumn("neg_ids", F.array_join(F.col("neg_ids").cast("array<string>"), ","))
+
+
+@query(f"""WITH {MINED}, t AS (SELECT query_id, pos_id, neg_ids[(query_id * 31 + 7) % least(50, len(neg_ids)) + 1] AS neg_id FROM hn)
+SELECT query_id, pos_id, neg_id, b.text AS query, p.text AS positive, n.text AS negative FROM t JOIN benchmark b ON b.item_id = query_id JOIN documents p ON p.doc_id = pos_id JOIN documents n ON n.doc_id = neg_id""")
+def triples_join(spark, d):
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    return mining.with_texts(mining.triples(_mined(spark, d), 50, seed=7), _topics(spark, d), texts)
+
+
+@query(f"WITH {_bm25_sql(10)} SELECT r.query_id, r.doc_id, r.rank, d.text FROM run r JOIN documents d USING (doc_id)")
+def candidate_texts(spark, d):
+    return mining.lookup(_bm25(spark, d, 10).select("query_id", "doc_id", "rank"), table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query(f"""WITH {_bm25_sql(10)} SELECT query_id, '{{"' || query_id || '":[' || string_agg('"' || doc_id || '"', ',' ORDER BY rank) || ']}}' AS json FROM run GROUP BY query_id""")
+def run_json(spark, d):
+    return sinks.run_json(_bm25(spark, d, 10)).select(F.col("query_id").cast("long").alias("query_id"), "json")
+
+
+@query("SELECT doc_id, CAST(least(7, (row_number() OVER (ORDER BY doc_id) - 1) // (SELECT greatest(1, count(*) // 8) FROM documents)) AS INT) AS shard FROM documents")
+def shard_assign(spark, d):
+    return sampling.contiguous_shard(table(spark, d, "documents").select("doc_id"), "doc_id", 8)
+
+
+@query("SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) % 12 AS INT) AS worker FROM documents")
+def worker_assign(spark, d):
+    return sampling.numbered(table(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", sampling.worker_of(F.col("position"), 4, 3).alias("worker"))
+
+
+@query(f"""WITH {MINED}, t AS (SELECT query_id, query_id // 8 AS batch_id, pos_id, neg_ids[(query_id * 31) % least(100, len(neg_ids)) + 1] AS neg_id FROM hn)
+SELECT batch_id, string_agg(CAST(pos_id AS VARCHAR), ',' ORDER BY query_id, pos_id) || ',' || string_agg(CAST(neg_id AS VARCHAR), ',' ORDER BY query_id, neg_id) AS passages FROM t GROUP BY batch_id""")
+def in_batch_passages(spark, d):
+    rows = mining.triples(_mined(spark, d)).withColumn("batch_id", F.floor(F.col("query_id") / 8))
+    return mining.in_batch_passages(rows).withColumn("passages", F.array_join(F.col("passages").cast("array<string>"), ","))

@@ -1 +1 @@
-"""Readers and writers for collections, queries, judgements and runs."""
+"""Readers and writers for collections, queries, judgements, runs and vectors."""
