@@ -55,7 +55,7 @@ def format_chats(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     t = t.withColumn("tail", F.when(F.col("closes"), F.lit(f"{END}\n")).otherwise(F.lit("")))
     piece = (F.length("head") + F.length("body") + F.length("tail")).cast("long")
     before = F.coalesce(F.sum(piece).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    t = t.select("conv_id", F.struct("turn", "role", "text", "head", "body", "tail", (before + F.length("head")).alias("start")).alias("t"))
+    t = t.select("conv_id", F.struct("turn", "role", "text", (before + F.length("head")).alias("start"), "head", "body", "tail").alias("t"))
     done = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     return done.select(
         "conv_id",
