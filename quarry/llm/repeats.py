@@ -14,7 +14,8 @@ their bucket, and compared with their neighbours, across bucket boundaries too.
 2.  Only the windows of edge blocks, and of one block for each repeated whole
     that shares its core with others, become suffixes of their own, which are
     partitioned, sorted and compared in the same way.
-3.  The windows found are joined back to the texts.
+3.  The windows found are joined back to the texts. Texts travel compressed,
+    one by one, which is less than what shuffles make of them.
 
 A suffix is represented by its leading tokens and fingerprints of its longer
 prefixes (112 bits and more), so a row has a fixed size. Splitters hold a salt
@@ -29,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,7 @@ CHUNK_BYTES = 1 << 20
 BUCKET_ROWS = 100_000
 MAX_BUCKETS = 50_000
 SAMPLE_PER_BUCKET = 50
+SAMPLE_TEXTS = 2500  # at least, and two thousandths of all
 
 
 @dataclass(frozen=True)
@@ -145,12 +148,28 @@ def _behind(leading: np.ndarray, print_: np.ndarray) -> np.ndarray:
     return (leading.astype(U64) << U64(48)) | (print_ >> U64(16))
 
 
+def parcels(docs: DataFrame) -> DataFrame:
+    """``docs`` with their texts compressed: (id, uid, tag, z)."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            z = [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(z, pa.binary())], names=["id", "uid", "tag", "z"])
+
+    return docs.select("id", "uid", "tag", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, uid long, tag int, z binary")
+
+
+def unpacked(z: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(z)
+
+
 def _chunks(batches, n_columns: int):
-    """Lists of the columns, some CHUNK_BYTES of text at a time; the last column is the text."""
+    """Lists of the columns, some CHUNK_BYTES of text at a time; the last column is the text, or its parcel."""
     held, size = [], 0
     for batch in batches:
         for row in zip(*(batch.column(k).to_pylist() for k in range(n_columns))):
-            text = (row[-1] or "").encode("utf-8", "surrogatepass")
+            text = unpacked(row[-1]) if isinstance(row[-1], bytes) else (row[-1] or "").encode("utf-8", "surrogatepass")
             held.append((*row[:-1], text))
             size += len(text)
             if size >= CHUNK_BYTES:
@@ -195,7 +214,7 @@ def block_rows(docs: DataFrame, scheme: Scheme, splitters=None) -> DataFrame:
 
 
 def window_rows(docs: DataFrame, scheme: Scheme, splitters=None) -> DataFrame:
-    """Suffixes at every window of the edge blocks of ``docs`` (uid, tag, edges, text)."""
+    """Suffixes at every window of the edge blocks of ``docs`` (uid, tag, edges, z)."""
 
     def run(batches):
         cuts = None if splitters is None else splitters.value
@@ -215,7 +234,7 @@ def window_rows(docs: DataFrame, scheme: Scheme, splitters=None) -> DataFrame:
                 uids = np.array(uid, np.int64)[o]
                 yield _rows(core, hash_(i, i + scheme.window // 2), uids, _packed(p, 1, np.array(tag, np.int64)[o]), cuts)
 
-    return docs.select("uid", "tag", "edges", "text").mapInArrow(run, ROWS)
+    return docs.select("uid", "tag", "edges", "z").mapInArrow(run, ROWS)
 
 
 def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
@@ -288,28 +307,24 @@ def _listed(found: DataFrame, name: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """``docs`` (id, text) with ``found``: packed runs of windows that also start elsewhere (null: none).
+    """(id, z, found) of ``docs`` (id, text): each text as a parcel, and packed runs of its windows that also start elsewhere (null: none).
 
     Rows equal in id and text are told apart as little as they need to be:
     each has its windows repeated in the other. A null text has no tokens.
     """
     text = F.col("text").cast("string")
     docs = docs.select("id", text.alias("text"), F.xxhash64("id", text).alias("uid"), F.coalesce(F.crc32(text.cast("binary")).bitwiseAND(0xFFFF).cast("int"), F.lit(0)).alias("tag"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    share = min(1.0, max(0.002, (8 << 20) / max(1, size)))  # some 8 MB of texts, or two thousandths
+    share = min(1.0, max(0.002, SAMPLE_TEXTS / max(1, docs.count())))
 
     def sampled(d: DataFrame) -> DataFrame:
         return d.filter(F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     first = cut(neighbours(lambda s: block_rows(docs, scheme, s), block_rows(sampled(docs), scheme), share, False))
     edges = _listed(first.filter(F.col("kind") == EDGE).distinct(), "edges")
-
-    def at_edges(d: DataFrame) -> DataFrame:
-        return d.join(sampled(edges).hint("shuffle_hash") if d is not docs else edges.hint("shuffle_hash"), ["uid", "tag"])
-
-    second = neighbours(lambda s: window_rows(at_edges(docs), scheme, s), window_rows(at_edges(sampled(docs)), scheme), share, True)
+    sample = window_rows(parcels(sampled(docs)).join(sampled(edges).hint("shuffle_hash"), ["uid", "tag"]), scheme)
+    second = neighbours(lambda s: window_rows(parcels(docs).join(edges.hint("shuffle_hash"), ["uid", "tag"]), scheme, s), sample, share, True)
     found = _listed(first.filter(F.col("kind") == MATCHED).unionByName(second), "found")
-    return docs.join(found.hint("shuffle_hash"), ["uid", "tag"], "left").select("id", "text", "found")
+    return parcels(docs).join(found.hint("shuffle_hash"), ["uid", "tag"], "left").select("id", "z", "found")
 
 
 def covered(found: list[int] | None, n: int, window: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import Scheme, repeated
+from .repeats import Scheme, repeated, unpacked
 
 SCHEME = Scheme(words=True, window=35, gram=6, block=10)
 
@@ -50,8 +50,8 @@ def deduplicate(docs: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
+            for z, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words = unpacked(z).split()
                 spans = factors(found, scheme.window)
                 gone = np.zeros(len(words), bool)
                 for lo, hi in spans:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import Scheme, covered, repeated, spans
+from .repeats import Scheme, covered, repeated, spans, unpacked
 
 SCHEME = Scheme(words=False, window=400, gram=32, block=64)
 
@@ -33,8 +33,8 @@ def deduplicate(docs: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+            for z, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                raw = np.frombuffer(unpacked(z), np.uint8)
                 mask = covered(found, len(raw), scheme.window)
                 runs = spans(mask)
                 kept = raw[~mask].tobytes()
