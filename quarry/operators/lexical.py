@@ -8,15 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .common import sized, top_k
+from . import impact as impacts
+from .common import sized
 
 K1, B = 0.82, 0.68
 
 
 def term_counts(collection: DataFrame, id_col: str = "id", text_col: str = "contents") -> DataFrame:
-    """(id, dl, term, tf). Counting runs inside each text, so a text's terms never meet in a shuffle."""
-    listed = collection.select(id_col, F.array_sort(tokens(F.col(text_col))).alias("ts"))
-    return listed.select(id_col, F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
+    """(id, dl, term, tf).
+
+    Runs of a text's sorted terms are counted inside its row, so nothing is
+    shuffled.
+    """
+    ts = collection.select(id_col, F.array_sort(tokens(F.col(text_col))).alias("ts"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1)))
+    runs = ts.select(id_col, "ts", F.when(F.size("ts") > 0, begins).alias("begins"))
+    count = lambda i, j: F.coalesce(F.get("begins", j + 1), F.size("ts")) - i
+    each = F.transform("begins", lambda i, j: F.struct(F.get("ts", i).alias("term"), count(i, j).cast("long").alias("tf")))
+    return runs.select(id_col, F.size("ts").alias("dl"), F.explode(each).alias("t")).select(id_col, "dl", "t.term", "t.tf")
 
 
 def doc_lengths(collection: DataFrame, id_col: str = "id", text_col: str = "contents") -> DataFrame:
@@ -63,10 +72,8 @@ def search(index: Index, queries: DataFrame, k: int = 1000, k1: float = K1, b: f
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = index.postings.join(sized(asked.select("term").distinct()), "term", "left_semi")
     freq = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = freq.crossJoin(F.broadcast(index.totals))  # one row
-    weighted = idf.select("term", "avgdl", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    terms = asked.join(weighted, "term")
-    hit = wanted.join(sized(terms), "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = hit.groupBy("query_id", F.col("id").alias("doc_id")).agg(F.round(F.sum(part), 9).alias("score"))
-    return top_k(scores, ["query_id"], "score", ["doc_id"], k)
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.join(freq.crossJoin(F.broadcast(index.totals)), "term").select("query_id", F.col("term").alias("token"), (F.col("qtf") * idf).alias("weight"))  # totals: one row
+    impact = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    postings = index.postings.crossJoin(F.broadcast(index.totals)).select(F.col("id").alias("doc_id"), F.col("term").alias("token"), impact.alias("impact"))
+    return impacts.search(postings, weights, k)

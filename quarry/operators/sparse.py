@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import impact
 from .common import sized, top_k
 
 
@@ -34,10 +35,7 @@ def search(queries: DataFrame, postings: DataFrame, k: int = 1000) -> DataFrame:
 
     A query without tokens has no hits; documents that share no token are not listed.
     """
-    q = queries.select("query_id", "token", F.col("weight").alias("qw"))
-    hits = postings.select("doc_id", "token", F.col("weight").alias("dw")).join(sized(q), "token")
-    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("dw")), 9).alias("score"))
-    return top_k(scores, ["query_id"], "score", ["doc_id"], k)
+    return impact.search(postings.select("doc_id", "token", F.col("weight").alias("impact")), queries, k)
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, postings: DataFrame) -> DataFrame:
