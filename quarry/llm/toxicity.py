@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-MAX_ROWS = 60_000
+MAX_ROWS = 30_000
 MAX_FEATURES = 200_000
 PREFIXES = range(3, 9)
 STRIP = ".,;:!?#$%&*()[]{}\"'«»„“”…-"
@@ -51,32 +51,34 @@ class Model:
 
 
 def words(text: str | None) -> list[str]:
-    return [] if text is None else [w for w in (x.strip(STRIP) for x in text.lower().split()) if w]
+    """Lower-cased words as they stand between white space."""
+    return [] if text is None else text.lower().split()
 
 
 def tokens(word: str) -> list[str]:
-    """The word itself (marked by its end) and its prefixes."""
+    """The word without punctuation at its ends (marked by its end), and its prefixes."""
+    word = word.strip(STRIP)
     return [f"{word}$", *(word[:n] for n in PREFIXES if n <= len(word))]
 
 
-class Scorer:
+class Scorer(dict):
+    """Scores of words, kept as they are met: the largest log-odds of the word's telling tokens, or the drift."""
+
     def __init__(self, model: Model):
-        self.model, self.cache = model, {}
-
-    def word(self, w: str) -> float:
-        """Largest log-odds of the word's telling tokens, or the drift."""
-        got = self.cache.get(w)
-        if got is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            weights = self.model.weights
-            got = self.cache[w] = max((weights[t] for t in tokens(w) if t in weights), default=self.model.drift)
+        self.model = model
+
+    def __missing__(self, w: str) -> float:
+        if len(self) >= CACHE:
+            self.clear()
+        weights = self.model.weights
+        got = self[w] = max((weights[t] for t in tokens(w) if t in weights), default=self.model.drift)
         return got
 
     def segments(self, ws: list[str]) -> list[tuple[int, int, float]]:
         """All maximal scoring segments as (from word, to word, score), by Ruzzo and Tompa's linear scan."""
-        score, drift = self.word, self.model.drift
-        scores = [score(w) for w in ws]
+        scores = list(map(self.__getitem__, ws))
+        if max(scores, default=0) <= 0:
+            return []
         stack: list[tuple[int, int, float, float]] = []  # from, to, total before, total after
         total, last = 0.0, 0
         for i in [i for i, s in enumerate(scores) if s > 0]:
@@ -129,15 +131,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
 
     def count(batches):
         for batch in batches:
-            n, m = (Counter(), Counter()), (Counter(), Counter())
+            n, m, said = (Counter(), Counter()), (Counter(), Counter()), (Counter(), Counter())
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = Counter()
-                for w, times in Counter(words(text)).items():
-                    own[""] += times
+                ws = words(text)
+                said[y].update(ws)
+                own = {w.strip(STRIP) for w in ws}
+                n[y].update([f"{w}$" for w in own])
+                for k in PREFIXES:
+                    n[y].update({w[:k] for w in own if len(w) >= k})
+                n[y][""] += 1  # documents
+            for y in (0, 1):
+                for w, times in said[y].items():
                     for t in tokens(w):
-                        own[t] += times
-                n[y].update(own.keys() | {""})
-                m[y].update(own)
+                        m[y][t] += times
+                m[y][""] = said[y].total()
             keys = list(n[0].keys() | n[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([x[k] for k in keys], pa.int64()) for x in (*n, *m))], names=["token", "clean", "toxic", "clean_times", "toxic_times"])
 
@@ -169,7 +176,10 @@ def _rate(rows: DataFrame, model: Model) -> float:
     def spread(batches):
         scorer = Scorer(sent.value)
         for batch in batches:
-            n = Counter(round(10 * scorer.word(w)) if scorer.word(w) > 0 else round(10 * min(scorer.word(w), -0.1)) for t in batch.column(0).to_pylist() for w in words(t))
+            n = Counter()
+            for t in batch.column(0).to_pylist():
+                n.update(map(scorer.__getitem__, words(t)))
+            n = Counter({k: sum(v for s, v in n.items() if round(10 * s) == k) for k in {round(10 * s) for s in n}})
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names=["s", "n"])
 
     got = rows.filter("toxic = 0").select("text").mapInArrow(spread, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()  # some hundred scores
