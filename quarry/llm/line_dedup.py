@@ -84,12 +84,13 @@ def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MI
     gone = later_copies(keyed.select(*DOC, F.col("text").cast("string").alias("text")), min_lines, min_chars)
     gone = gone.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "removed", "n_runs").hint("shuffle_hash")
     joined = keyed.join(gone, keyed["id"].eqNullSafe(gone["_id"]) & (keyed["h"] == gone["_h"]), "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
-    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return joined.select(
-        *[keyed[c] for c in docs.columns], kept.alias("kept"), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_runs", F.lit(0).cast("long")).alias("n_runs"),
+    # the split text is a column of its own, for it is looked into line by line
+    split = joined.select(*[keyed[c] for c in docs.columns], F.split(keyed["text"], "\n", -1).alias("__lines"), "removed", F.coalesce("n_runs", F.lit(0).cast("long")).alias("__n_runs"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("removed"))
+    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))
+    return split.select(
+        *docs.columns, kept.alias("kept"), F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.col("__n_runs").alias("n_runs"),
     )
 
 
