@@ -4,8 +4,10 @@ Training counts every token (a word or one of its prefixes) in either class.
 Whether a token is telling is decided on documents: its log-odds under a
 Dirichlet prior that follows the token's overall frequency must stand out from
 what the number of tokens tested would show by chance (``min_z`` standard
-errors). Its weight is the log-odds of its rate among the words. A word scores
-by its most toxic telling token; every other word costs ``drift``.
+errors), and of the documents that hold it a share of ``min_share`` must be
+toxic, else it may only mark a language or a source that has more of them. Its weight is the log-odds of its
+rate among the words. A word scores by its most toxic telling token; every
+other word costs ``drift``.
 
 A linear scan finds all maximal scoring segments of a text. A segment of score
 S in a text of n words has about ``K n exp(-lambda S)`` chance equals, where
@@ -33,6 +35,8 @@ from .common import cut, table
 
 MAX_ROWS = 30_000
 MAX_FEATURES = 200_000
+THRESHOLD = 0.3
+MIN_SHARE = 0.4
 PREFIXES = range(3, 9)
 STRIP = ".,;:!?#$%&*()[]{}\"'«»„“”…-"
 K = 0.1
@@ -119,7 +123,7 @@ def training_rows(labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, min_z: float | None = None, prior: float = 10.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, min_z: float | None = None, min_share: float = MIN_SHARE, prior: float = 10.0) -> Model:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     ``min_z`` is by default sqrt(2 ln N) for N tokens tested, beyond which the
@@ -162,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     odds = lambda y, n: F.log((F.col(y) + a) / (n + 2 + 2 * prior - F.col(y) - a))
     z = (odds("toxic", nt) - odds("clean", nc)) / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
     rate = lambda y: F.log((F.col(f"{y}_times") + 0.5) / (size[f"{y}_times"] + 0.5))
-    telling = counts.filter("token <> ''").select("token", (rate("toxic") - rate("clean")).alias("d"), z.alias("z")).filter((F.col("z") >= min_z) & (F.col("d") > 0))
+    telling = counts.filter((F.col("token") != "") & (F.col("toxic") >= min_share * (F.col("toxic") + F.col("clean")))).select("token", (rate("toxic") - rate("clean")).alias("d"), z.alias("z")).filter((F.col("z") >= min_z) & (F.col("d") > 0))
     top = telling.orderBy(F.col("z").desc(), "token").limit(max_features).collect()
     model = Model(weights={r["token"]: min(r["d"], 8.0) for r in top})
     model.rate = _rate(rows, model)
@@ -216,7 +220,7 @@ def _calibrated(rows: DataFrame, model: Model) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """id, score, predicted, n_passages, passages (from word, to word, minus log E-value) for every row of ``docs`` (id, text).
 
     Null, empty and blank texts have no words and score by the calibrated
@@ -236,7 +240,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return docs.select("id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double, predicted int, n_passages long, passages array<struct<start:int,end:int,weight:double>>")
 
 
-def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("id"), docs["text"].alias("text"))
     return score(held, model, threshold).filter("predicted = 0").select("id.*")
