@@ -26,6 +26,8 @@ its two neighbours only. Of each bucket, two rows go to the driver.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +43,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 PLACE_BITS = 30
 CHUNK_BYTES = 1 << 20
+PIECE_BYTES = 1 << 21  # texts longer than this are taken a piece at a time
 BUCKET_ROWS = 100_000
 MAX_BUCKETS = 50_000
 SAMPLE_PER_BUCKET = 50
@@ -107,6 +110,49 @@ def tokenise(texts: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray, n
     return tokens, np.searchsorted(lo, text_at), (tokens >> U64(48)).astype(np.uint16)
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _parts(raw: bytes, words: bool) -> Iterator[bytes]:
+    """A long text in parts that no word crosses."""
+    at = 0
+    while at < len(raw):
+        end = at + PIECE_BYTES
+        if words and end < len(raw):
+            m = _BLANK.search(raw, end)
+            end = m.start() if m else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def long_tokens(raw: bytes, scheme: Scheme, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens lo .. hi of a long text of bytes, with their leading bits."""
+    tokens, _, leading = tokenise([raw[lo : hi + 1]], False)
+    return tokens[: hi - lo], leading[: hi - lo]
+
+
+def long_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All word tokens of a long text, with their leading bits: ten bytes a word."""
+    got = [tokenise([part], True) for part in _parts(raw, True)]
+    return np.concatenate([g[0] for g in got]), np.concatenate([g[2] for g in got])
+
+
+def long_blocks(raw: bytes, scheme: Scheme) -> Iterator[dict[str, np.ndarray]]:
+    """``blocks`` of one long text, a piece at a time. Each piece sees what surrounds it, so blocks come out as from the whole."""
+    around = 2 * scheme.window + scheme.block
+    tokens, leading = long_words(raw) if scheme.words else (None, None)
+    n = len(tokens) if scheme.words else len(raw)
+    for lo in range(0, n, PIECE_BYTES):
+        hi = min(n, lo + PIECE_BYTES)
+        a, b = max(0, lo - around), min(n, hi + around)
+        t, l = (tokens[a:b], leading[a:b]) if scheme.words else long_tokens(raw, scheme, a, b)
+        got = blocks(t, np.array([0, len(t)]), l, scheme)
+        if got is not None:
+            first = got["first"] + a
+            own = (first >= lo) & (first < hi)
+            yield {k: (first if k == "first" else v)[own] for k, v in got.items()}
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     n = len(x)
     padded = np.full(-(-n // w) * w, np.iinfo(U64).max, U64)
@@ -170,6 +216,9 @@ def _chunks(batches, n_columns: int):
     for batch in batches:
         for row in zip(*(batch.column(k).to_pylist() for k in range(n_columns))):
             text = unpacked(row[-1]) if isinstance(row[-1], bytes) else (row[-1] or "").encode("utf-8", "surrogatepass")
+            if len(text) > PIECE_BYTES:
+                yield [(x,) for x in (*row[:-1], text)]
+                continue
             held.append((*row[:-1], text))
             size += len(text)
             if size >= CHUNK_BYTES:
@@ -202,13 +251,15 @@ def block_rows(docs: DataFrame, scheme: Scheme, splitters=None) -> DataFrame:
     def run(batches):
         cuts = None if splitters is None else splitters.value
         for uid, tag, texts in _chunks(batches, 3):
-            got = blocks(*tokenise(list(texts), scheme.words), scheme)
-            if got is None:
-                continue
-            uids, tags = np.array(uid, np.int64)[got["text"]], np.array(tag, np.int64)[got["text"]]
-            packed = _packed(got["first"], got["count"], tags)
-            own = mix(uids.view(U64) * U64(3) + packed.view(U64))  # a block at a text's edge has no whole to share
-            yield _rows(got["core"], np.where(got["inside"], got["whole"], own), uids, packed, cuts)
+            if len(texts) == 1 and len(texts[0]) > PIECE_BYTES:
+                parts = long_blocks(texts[0], scheme)
+            else:
+                parts = filter(None, [blocks(*tokenise(list(texts), scheme.words), scheme)])
+            for got in parts:
+                uids, tags = np.array(uid, np.int64)[got["text"]], np.array(tag, np.int64)[got["text"]]
+                packed = _packed(got["first"], got["count"], tags)
+                own = mix(uids.view(U64) * U64(3) + packed.view(U64))  # a block at a text's edge has no whole to share
+                yield _rows(got["core"], np.where(got["inside"], got["whole"], own), uids, packed, cuts)
 
     return docs.select("uid", "tag", "text").mapInArrow(run, ROWS)
 
@@ -219,24 +270,36 @@ def window_rows(docs: DataFrame, scheme: Scheme, splitters=None) -> DataFrame:
     def run(batches):
         cuts = None if splitters is None else splitters.value
         for uid, tag, edges, texts in _chunks(batches, 4):
-            tokens, starts, leading = tokenise(list(texts), scheme.words)
-            hash_ = Rolling(tokens)
             spans = np.concatenate([np.array(e, np.int64) for e in edges])
             owner = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
             first, count = spans >> 32, (spans >> 16) & 0xFFFF
             row = np.repeat(np.arange(len(spans)), count)
             at = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            own = owner[row]
-            for lo in range(0, len(at), 1 << 18):
-                p, o = at[lo : lo + (1 << 18)], own[lo : lo + (1 << 18)]
-                i = p + starts[o]
-                core = _behind(leading[i], hash_(i, i + scheme.window))
-                uids = np.array(uid, np.int64)[o]
-                yield _rows(core, hash_(i, i + scheme.window // 2), uids, _packed(p, 1, np.array(tag, np.int64)[o]), cuts)
+            own, uids, tags = owner[row], np.array(uid, np.int64), np.array(tag, np.int64)
+            if len(texts) == 1 and len(texts[0]) > PIECE_BYTES:
+                at = np.sort(at)
+                words_ = long_words(texts[0]) if scheme.words else None
+                for lo in range(0, int(at[-1]) + 1, PIECE_BYTES):
+                    here = at[(at >= lo) & (at < lo + PIECE_BYTES)]
+                    if len(here):
+                        end = int(here[-1]) + scheme.window
+                        tokens, leading = (x[lo:end] for x in words_) if scheme.words else long_tokens(texts[0], scheme, lo, end)
+                        yield from _window_rows(Rolling(tokens), leading, here - lo, here, np.zeros(len(here), np.int64), uids, tags, scheme, cuts)
+            else:
+                tokens, starts, leading = tokenise(list(texts), scheme.words)
+                yield from _window_rows(Rolling(tokens), leading, at + starts[own], at, own, uids, tags, scheme, cuts)
 
     return docs.select("uid", "tag", "edges", "z").mapInArrow(run, ROWS)
 
 
+def _window_rows(hash_: Rolling, leading, i, first, own, uids, tags, scheme: Scheme, cuts) -> Iterator[pa.RecordBatch]:
+    """Rows of the windows at places ``i`` of the tokens, which are the ``first``-th of text ``own``."""
+    for lo in range(0, len(i), 1 << 18):
+        k = slice(lo, lo + (1 << 18))
+        core = _behind(leading[i[k]], hash_(i[k], i[k] + scheme.window))
+        yield _rows(core, hash_(i[k], i[k] + scheme.window // 2), uids[own[k]], _packed(first[k], 1, tags[own[k]]), cuts)
+
+
 def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
     """Order by the first key; each further key is looked at only where all before it tie."""
     order = np.argsort(keys[0], kind="stable")
@@ -332,10 +395,10 @@ def covered(found: list[int] | None, n: int, window: int) -> np.ndarray:
     if not found:
         return np.zeros(n, bool)
     runs = np.array(found, np.int64)
-    marks = np.zeros(n + 1, np.int64)
+    marks = np.zeros(n + 1, np.int32)
     np.add.at(marks, runs >> 32, 1)
     np.add.at(marks, (runs >> 32) + ((runs >> 16) & 0xFFFF) - 1 + window, -1)
-    return np.cumsum(marks[:-1]) > 0
+    return np.cumsum(marks[:-1], dtype=np.int32) > 0
 
 
 def spans(mask: np.ndarray) -> np.ndarray:

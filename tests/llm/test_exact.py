@@ -85,6 +85,35 @@ def test_many_small_buckets(spark, docs, monkeypatch):
     assert got == {i: sum(g) for i, g in enumerate(covered(raw, 40))}
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_long_texts_in_pieces(docs, words):
+    """Blocks and windows of a text taken in pieces are those of the whole."""
+    r = random.Random(9)
+    raw = "".join(r.choice(["la ", "été", "wer\n", "of", " ", "x "]) for _ in range(3000)).encode()
+    scheme = Scheme(words, 20, 4, 6)
+    whole = repeats.blocks(*repeats.tokenise([raw], words), scheme)
+    for size in (64, 257, 5000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(repeats, "PIECE_BYTES", size)
+            parts = list(repeats.long_blocks(raw, scheme))
+            assert (repeats.long_words(raw)[0] == repeats.tokenise([raw], True)[0]).all()
+        for k, v in whole.items():
+            assert (np.concatenate([p[k] for p in parts]) == v).all()
+
+
+def test_very_long_text(spark, docs):
+    """Two texts of some megabytes that share their middle."""
+    r = random.Random(4)
+    noise = lambda: "".join(r.choices("abcdefghij klmnop", k=1_200_000))
+    middle = noise()
+    texts = [noise() + middle + noise(), noise() + middle + "#" + noise(), None]
+    got = {x["id"]: x for x in suffix_dedup.deduplicate(docs(texts).withColumnRenamed("doc_id", "id")).collect()}
+    for i in (0, 1):
+        assert got[i]["n_spans"] == 1 and 0 <= got[i]["n_removed"] - len(middle) <= 12
+    found = {x["id"]: x for x in substring_dedup.deduplicate(docs(texts).withColumnRenamed("doc_id", "id")).collect()}
+    assert all(abs(found[i]["n_removed"] - len(middle.split())) <= 4 for i in (0, 1))
+
+
 def test_repeated_ids_and_empty_tables(spark, docs):
     scheme = Scheme(False, 10, 3, 4)
     twice = docs(["0123456789abc", "0123456789abc", "unlike it all"], [7, 7, 7]).withColumnRenamed("doc_id", "id")
