@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def sample_size(n: int, factor: int = 16) -> int:
     return min(1 + int(factor * math.sqrt(n)), n)
@@ -36,7 +38,7 @@ def contiguous_shard(df: DataFrame, key: str, n: int) -> DataFrame:
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
     """Adds ``position``, from 0 in key order: rows are range-partitioned, and each partition starts where the ones before end."""
-    parts = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id()).persist()
+    parts = cut(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id()))
     part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
     sizes = parts.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
