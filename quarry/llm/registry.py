@@ -19,5 +19,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
+    "op5_decontamination": decontaminate.OP5_SQL,
+    "op6_embeddings": embeddings.OP6_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
 }

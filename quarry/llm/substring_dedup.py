@@ -68,3 +68,20 @@ def deduplicate(docs: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicate(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS seq FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+), r AS (
+  SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY seq) > 1
+), g AS (
+  SELECT DISTINCT doc_id, i + unnest(range(35)) AS i FROM r
+), k AS (
+  SELECT x.doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE g.i IS NULL) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d) x LEFT JOIN g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY x.doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
