@@ -8,7 +8,10 @@ that split a character join again before UTF-8 is read.
 
 Texts are cut, for bounded memory only, at places where the split pattern
 always ends a match (a letter or digit of ASCII before a space or line break),
-so long texts give the ids they would give in one piece.
+so long texts give the ids they would give in one piece. Since every match of
+the pattern is encoded separately, texts of Latin script are split here, and
+each worker asks the library once for a match it has met before; texts with
+other characters, of which Unicode versions may differ, go to it whole.
 """
 
 from __future__ import annotations
@@ -17,11 +20,14 @@ import base64
 import hashlib
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +35,12 @@ from .common import table
 
 PIECE_CHARS = 1 << 16
 CALL_CHARS = 1 << 18
+KNOWN_MATCHES = 200_000
 _CUT = re.compile(r"(?<=[0-9A-Za-z])[ \n]")
+_BEYOND = re.compile("[^\x00-\u024f]")
+_SPACE = "\\t-\\r \\x85\\xa0"  # of the characters that are split here
+#: The split pattern of the vocabulary (fixed value), white space written out.
+_SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 def byte_table() -> dict[str, int]:
@@ -75,18 +86,55 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+class Matches(dict):
+    """Ids of matches met before, as little-endian bytes; those not met again for a while are forgotten."""
+
+    def __init__(self, model: str, ranks: str):
+        self.tokenizer, as_rank, _ = load(model, ranks)
+        self.as_rank = None if (as_rank == np.arange(len(as_rank))).all() else as_rank
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        got = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.as_rank is not None:
+            return [self.as_rank[np.array(x, np.int64)].astype("<u4").tobytes() for x in got]
+        return [x.tobytes() for x in got] if sys.byteorder == "little" else [np.array(x, "<u4").tobytes() for x in got]
+
+    def learn(self, matches: set[str]) -> None:
+        """Have the ids of all ``matches``."""
+        if len(self) > KNOWN_MATCHES:
+            self.old = dict(self)
+            self.clear()
+        new = []
+        for m in matches.difference(self):
+            if m in self.old:
+                self[m] = self.old[m]
+            else:
+                new.append(m)
+        for at in range(0, len(new), 4096):
+            self.update(zip(new[at : at + 4096], self.ids(new[at : at + 4096])))
+
+
+@lru_cache(maxsize=1)
+def _matches(model: str, ranks: str) -> Matches:
+    return Matches(model, ranks)
+
+
 def encode_texts(texts: list[str | None], model: str, ranks: str) -> Iterator[np.ndarray]:
     """The ids of each text, in order; None counts as empty."""
-    tokenizer, as_rank, _ = load(model, ranks)
-    open_: list[np.ndarray] = []
+    known = _matches(model, ranks)
     pending: list[tuple[str, bool]] = []
+    open_: list[bytes] = []
     chars = 0
 
     def flush():
-        for (_, last), e in zip(pending, tokenizer.encode_batch_fast([p for p, _ in pending], add_special_tokens=False)):
-            open_.append(as_rank[np.array(e.ids, np.int64)])
+        split = [None if _BEYOND.search(p) else _SPLIT.findall(p) for p, _ in pending]
+        whole = iter(known.ids([p for (p, _), m in zip(pending, split) if m is None]))
+        known.learn({x for m in split if m for x in m})
+        for (_, last), m in zip(pending, split):
+            open_.append(next(whole) if m is None else b"".join(map(known.__getitem__, m)))
             if last:
-                yield np.concatenate(open_) if len(open_) > 1 else open_[0]
+                yield np.frombuffer(b"".join(open_), "<u4")
                 open_.clear()
         pending.clear()
 
@@ -102,7 +150,7 @@ def encode_texts(texts: list[str | None], model: str, ranks: str) -> Iterator[np
 
 
 def decode_ids(ids: list[int], spelled: list[bytes]) -> bytes:
-    return b"".join([spelled[i] for i in ids])
+    return b"".join(map(spelled.__getitem__, ids))
 
 
 def offsets(text: str, ids: list[int], spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
