@@ -166,6 +166,13 @@ def test_lines(spark, docs, min_lines):
     assert got == lines_kept(texts, list(range(len(texts))), min_lines, 25)
 
 
+def test_equal_rows_are_one_document(spark):
+    """They keep and lose the same lines, and are no copies of each other."""
+    df = spark.createDataFrame([(5, "a\nb"), (5, "a\nb"), (1, "c\nd"), (7, "c\nd\ne\na\nb"), (7, "c\nd\ne\na\nb")], "id long, text string")
+    got = sorted((r["id"], r["kept"], r["n_removed"], r["n_runs"]) for r in line_dedup.deduplicate(df).collect())
+    assert got == [(1, "c\nd", 0, 0), (5, "a\nb", 0, 0), (5, "a\nb", 0, 0), (7, "e", 4, 2), (7, "e", 4, 2)]
+
+
 def test_line_dedup_keeps_clashing_columns(spark):
     df = spark.createDataFrame([(2, "a\nb\nc", 1, "x", "y"), (1, "a\nb", 2, "x", "y"), (None, None, 3, "x", "y")], "doc_id long, text string, h int, kept string, id string")
     got = line_dedup.clean(df)
