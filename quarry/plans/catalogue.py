@@ -22,7 +22,9 @@ from ..sources import readers, sinks
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-K = 100
+K = 1000
+MINED_K = 100
+PRUNED = 200
 CUTOFFS = [-0.1, 0.0, 0.1]
 WEIGHTS = [-0.15, -0.05, 0.05, 0.15]
 CODEC = ivf.Codec(CUTOFFS, WEIGHTS)
@@ -134,7 +136,7 @@ metrics AS (SELECT 'Recall' AS metric, ks.k, round(coalesce(avg(recall), 0), 9)
 SPARSE = f"""
 dw AS (SELECT doc_id, term AS token, ln(1 + count(*)) AS w FROM (SELECT doc_id, unnest({TOK('text')}) AS term FROM documents) WHERE term <> '' GROUP BY ALL),
 qw AS (SELECT query_id, term AS token, ln(1 + count(*)) AS w FROM (SELECT item_id AS query_id, unnest({TOK('text')}) AS term FROM benchmark) WHERE term <> '' GROUP BY ALL),
-pr AS (SELECT doc_id, token, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, token) AS r FROM dw) WHERE r <= 50)"""
+pr AS (SELECT doc_id, token, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, token) AS r FROM dw) WHERE r <= {PRUNED})"""
 
 TOKENS = """
 t AS (SELECT vec_id // 8 AS pid, vec_id % 8 AS pos, embedding::DOUBLE[] AS v FROM embeddings),
@@ -164,10 +166,12 @@ def normalize_queries(spark, d):
     return readers.normalise_beir_queries(rows)
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, replace(text, chr(10), ' ') AS contents, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS title FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(9))")
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, translate(coalesce(text, ''), chr(9) || chr(10), '  ') AS contents, CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, '') ELSE '' END AS title FROM documents")
 def parse_collection_tsv(spark, d):
-    fields = F.concat_ws("\t", F.col("doc_id").cast("string"), F.replace("text", F.lit("\n"), F.lit(" ")), F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
-    return readers.parse_collection(table(spark, d, "documents").filter("text is not null and not contains(text, '\t')").select(fields.alias("value")))
+    """Lines of three fields for even ids, of two for odd ones."""
+    text = F.translate(F.coalesce("text", F.lit("")), "\t\n", "  ")
+    fields = F.concat_ws("\t", F.col("doc_id").cast("string"), text, F.when(F.col("doc_id") % 2 == 0, F.coalesce("lang", F.lit(""))))
+    return readers.parse_collection(table(spark, d, "documents").select(fields.alias("value")))
 
 
 SCORES = "CASE doc_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN '1.9' WHEN 3 THEN '-2' WHEN 4 THEN 'x' ELSE '3' END"
@@ -383,13 +387,13 @@ def sparse_activate(spark, d):
 
 @query(f"WITH {SPARSE} SELECT doc_id, token, round(w, 9) AS weight FROM pr")
 def sparse_prune_topn(spark, d):
-    return sparse.prune(_sparse(spark, d, "documents", "doc_id", "doc_id"), 50, "doc_id").withColumn("weight", F.round("weight", 9))
+    return sparse.prune(_sparse(spark, d, "documents", "doc_id", "doc_id"), PRUNED, "doc_id").withColumn("weight", F.round("weight", 9))
 
 
 @query(f"""WITH {SPARSE}, sc AS (SELECT query_id, doc_id, round(sum(qw.w * pr.w), 9) AS score FROM qw JOIN pr USING (token) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= {K}""")
 def sparse_dot_topk(spark, d):
-    postings = sparse.prune(_sparse(spark, d, "documents", "doc_id", "doc_id"), 50, "doc_id")
+    postings = sparse.prune(_sparse(spark, d, "documents", "doc_id", "doc_id"), PRUNED, "doc_id")
     return sparse.search(_sparse(spark, d, "benchmark", "item_id", "query_id"), postings, K)
 
 
@@ -401,13 +405,13 @@ def dense_to_sparse(spark, d):
 
 @query(f"WITH {SPARSE} SELECT round(avg(n), 9) AS mean_terms FROM (SELECT doc_id, count(*) AS n FROM pr GROUP BY doc_id)")
 def avg_terms(spark, d):
-    pruned = sparse.prune(_sparse(spark, d, "documents", "doc_id", "doc_id"), 50, "doc_id")
+    pruned = sparse.prune(_sparse(spark, d, "documents", "doc_id", "doc_id"), PRUNED, "doc_id")
     return sparse.mean_terms(pruned, "doc_id").withColumn("mean_terms", F.round("mean_terms", 9))
 
 
-@query(f"WITH {SPARSE}, m AS (SELECT token, sum(w) / 1000 AS a FROM dw GROUP BY token) SELECT round(sum(a * a), 6) AS flops FROM m")
+@query(f"WITH {SPARSE}, m AS (SELECT token, sum(w) / (SELECT count(*) FROM documents) AS a FROM dw GROUP BY token) SELECT round(sum(a * a), 6) AS flops FROM m")
 def flops_stat(spark, d):
-    return sparse.flops(_sparse(spark, d, "documents", "doc_id", "doc_id"), 1000).withColumn("flops", F.round("flops", 6))
+    return sparse.flops(_sparse(spark, d, "documents", "doc_id", "doc_id"), table(spark, d, "documents").count()).withColumn("flops", F.round("flops", 6))
 
 
 # ---------------------------------------------------------------- late interaction
@@ -421,37 +425,19 @@ def maxsim_exact_topk(spark, d):
     return multivector.search(_token_queries(spark, d), docs, K)
 
 
-CANDIDATES = "cand AS (SELECT DISTINCT q.query_id, d.doc_id FROM (SELECT DISTINCT {q} AS query_id FROM {qt}) q, (SELECT DISTINCT {d} AS doc_id FROM {dt}) d WHERE d.doc_id % 7 = q.query_id // 100 % 7)"
-
-
-def _candidates(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Stand-in for a first-stage run: a seventh of the documents for each query, by arithmetic on the ids."""
-    q = queries.select("query_id").distinct().withColumn("b", F.floor(F.col("query_id") / 100) % 7)
-    return q.join(docs.select("doc_id").distinct().withColumn("b", F.col("doc_id") % 7), "b").select("query_id", "doc_id")
-
-
-@query(f"""WITH {TOKENS}, {CANDIDATES.format(q='query_id', qt='qt', d='pid', dt='t')},
-b AS (SELECT cand.query_id, q_pos, cand.doc_id, max(list_dot_product(qv, v)) AS m FROM cand JOIN qt USING (query_id) JOIN t ON t.pid = cand.doc_id GROUP BY ALL),
-sc AS (SELECT query_id, doc_id, round(sum(m), 9) AS score FROM b GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc""")
-def rerank_maxsim(spark, d):
-    docs, q = _tokens(spark, d).withColumnRenamed("pid", "doc_id"), _token_queries(spark, d)
-    return multivector.rerank(_candidates(q, docs), q, docs)
-
-
-@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), qq AS (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0), {CANDIDATES.format(q='vec_id', qt='qq', d='vec_id', dt='v')},
-sc AS (SELECT query_id, doc_id, round(list_dot_product(a.v, b.v), 9) AS score FROM cand JOIN v a ON a.vec_id = query_id JOIN v b ON b.vec_id = doc_id)
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
+sc AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a.v, b.v), 9) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc""")
 def rerank_dense(spark, d):
-    q, docs = _vector_queries(spark, d), _vectors(spark, d)
-    return dense.rerank(_candidates(q, docs), q, docs)
+    """The candidates of a query are all vectors of its label."""
+    return dense.rerank(_same_label(spark, d), _vector_queries(spark, d), _vectors(spark, d))
 
 
 @query(f"""WITH {SPARSE}, {_bm25_sql(K)},
 sc2 AS (SELECT r.query_id, r.doc_id, round(coalesce(sum(qw.w * pr.w), 0), 9) AS score FROM run r JOIN qw ON qw.query_id = r.query_id LEFT JOIN pr ON pr.doc_id = r.doc_id AND pr.token = qw.token GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc2""")
 def rerank_sparse(spark, d):
-    postings = sparse.prune(_sparse(spark, d, "documents", "doc_id", "doc_id"), 50, "doc_id")
+    postings = sparse.prune(_sparse(spark, d, "documents", "doc_id", "doc_id"), PRUNED, "doc_id")
     return sparse.rerank(_bm25(spark, d, K), _sparse(spark, d, "benchmark", "item_id", "query_id"), postings)
 
 
@@ -525,6 +511,16 @@ def maxsim_compressed_topk(spark, d):
     return ivf.search(_token_queries(spark, d), index, _centroids(spark, d), CODEC, K, NPROBE)
 
 
+@query(f"""WITH {HITS}, b AS (SELECT query_id, q_pos, pid, max(s) AS m FROM ht GROUP BY ALL), sc AS (SELECT query_id, pid AS doc_id, round(sum(m), 9) AS score FROM b GROUP BY ALL),
+cand AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= {K}),
+eb AS (SELECT cand.query_id, q_pos, cand.doc_id, max(list_dot_product(qv, v)) AS m FROM cand JOIN qt USING (query_id) JOIN t ON t.pid = cand.doc_id GROUP BY ALL),
+es AS (SELECT query_id, doc_id, round(sum(m), 9) AS score FROM eb GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM es""")
+def rerank_maxsim(spark, d):
+    """The passages that the compressed search finds, ranked again exactly."""
+    return multivector.rerank(maxsim_compressed_topk(spark, d), _token_queries(spark, d), _tokens(spark, d).withColumnRenamed("pid", "doc_id"))
+
+
 @query(f"WITH {HITS} SELECT round(count(*) / count(DISTINCT (query_id, q_pos, pid)), 9) AS mean_duplicates FROM ht")
 def ivf_duplicate_rate(spark, d):
     return ivf.duplicate_rate(_hits(spark, d)).withColumn("mean_duplicates", F.round("mean_duplicates", 9))
@@ -557,7 +553,7 @@ def encode_texts(spark, d):
 
 # ---------------------------------------------------------------- mining and shards
 
-MINED = f"""{_bm25_sql(K)}, {QRELS},
+MINED = f"""{_bm25_sql(MINED_K)}, {QRELS},
 fp AS (SELECT query_id, min(doc_id) AS pos_id FROM qrels GROUP BY query_id),
 ng AS (SELECT r.query_id, r.rank, r.doc_id FROM run r LEFT JOIN qrels p ON p.query_id = r.query_id AND p.doc_id = r.doc_id WHERE p.doc_id IS NULL),
 hn AS (SELECT query_id, pos_id, list(doc_id ORDER BY rank) AS neg_ids FROM fp JOIN ng USING (query_id) GROUP BY ALL)"""
@@ -565,7 +561,7 @@ hn AS (SELECT query_id, pos_id, list(doc_id ORDER BY rank) AS neg_ids FROM fp JO
 
 def _mined(spark, d):
     qrels = _judged(spark, d).withColumn("line_no", F.col("doc_id"))
-    return mining.hard_negatives(_bm25(spark, d, K), qrels, K)
+    return mining.hard_negatives(_bm25(spark, d, MINED_K), qrels, MINED_K)
 
 
 @query(f"WITH {MINED} SELECT query_id, pos_id, array_to_string(neg_ids, ',') AS neg_ids FROM hn")
