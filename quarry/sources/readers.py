@@ -125,6 +125,11 @@ def read_qrels(spark: SparkSession, *paths: str, positive: bool = True) -> DataF
     return rows.filter("relevance > 0") if positive else rows
 
 
+def numbered_qrels(spark: SparkSession, *paths: str) -> DataFrame:
+    """Judgements with ``line_no``, which grows along the lines."""
+    return read_qrels(spark, *paths, positive=False).withColumn("line_no", F.monotonically_increasing_id())
+
+
 def read_triples(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(S.TRIPLE).json(list(paths))
 
