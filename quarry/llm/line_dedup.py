@@ -13,6 +13,9 @@ all but an interval's first suffix begin a later copy; overlapping later copies
 join into the maximal repeated runs, which are deleted. A single repeated line
 is a run of its own if it has ``min_chars`` characters.
 
+Rows equal in id and text give each line twice, at one place; that makes no
+copy of it, as only a line's first place counts.
+
 Every aggregation combines on the map side and every join has one row for each
 rank on one side, so a line that is a third of all rows is only split, never
 gathered.
@@ -35,7 +38,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("line")))
     rows = docs.select(*DOC, F.posexplode(F.filter(numbered, lambda x: F.trim(x["line"]) != "")).alias("s", "x"))
     line = F.col("x.line")
-    return rows.select(*DOC, "s", F.col("x.i").alias("i"), F.xxhash64(line).alias("l1"), F.xxhash64(line, F.lit(1)).alias("l2"), F.length(line).alias("chars")).distinct()
+    return rows.select(*DOC, "s", F.col("x.i").alias("i"), F.xxhash64(line).alias("l1"), F.xxhash64(line, F.lit(1)).alias("l2"), F.length(line).alias("chars"))
 
 
 def _ranks(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -69,7 +72,7 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = M
     w = Window.partitionBy(*DOC).orderBy("s")
     covered = marks.withColumn("in_run", F.max("starts").over(w.rangeBetween(1 - min_lines, 0)) == 1).filter("i is not null and (in_run or alone)")
     begins = F.lag("s").over(w).isNull() | (F.lag("s").over(w) < F.col("s") - 1)
-    return covered.withColumn("begins", begins.cast("long")).groupBy(*DOC).agg(F.collect_list("i").alias("removed"), F.sum("begins").alias("n_runs"))
+    return covered.withColumn("begins", begins.cast("long")).groupBy(*DOC).agg(F.collect_set("i").alias("removed"), F.sum("begins").alias("n_runs"))
 
 
 def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
