@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -199,7 +199,7 @@ def parcels(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in slices(batches):
             z = [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(z, pa.binary())], names=["id", "uid", "tag", "z"])
 
@@ -213,7 +213,7 @@ def unpacked(z: bytes) -> bytes:
 def _chunks(batches, n_columns: int):
     """Lists of the columns, some CHUNK_BYTES of text at a time; the last column is the text, or its parcel."""
     held, size = [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(batch.column(k).to_pylist() for k in range(n_columns))):
             text = unpacked(row[-1]) if isinstance(row[-1], bytes) else (row[-1] or "").encode("utf-8", "surrogatepass")
             if len(text) > PIECE_BYTES:

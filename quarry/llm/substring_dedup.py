@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 from .repeats import Scheme, repeated, unpacked
 
 SCHEME = Scheme(words=True, window=35, gram=6, block=10)
@@ -48,7 +48,7 @@ def deduplicate(docs: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for z, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = unpacked(z).split()
