@@ -29,6 +29,7 @@ CUTOFFS = [-0.1, 0.0, 0.1]
 WEIGHTS = [-0.15, -0.05, 0.05, 0.15]
 CODEC = ivf.Codec(CUTOFFS, WEIGHTS)
 N_CENTROIDS, NPROBE = 16, 4
+PROBES_TRAINED = 32
 
 
 def query(sql: str | None = None):
@@ -521,6 +522,21 @@ def rerank_maxsim(spark, d):
     return multivector.rerank(maxsim_compressed_topk(spark, d), _token_queries(spark, d), _tokens(spark, d).withColumnRenamed("pid", "doc_id"))
 
 
+@query()
+def maxsim_trained_topk(spark, d):
+    """Compressed search over a trained index: list count from N, fitted codec, PROBES_TRAINED lists probed. Training is beyond SQL."""
+    tokens = _tokens(spark, d)
+    centroids = ivf.train_centroids(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+    codec = ivf.fit_codec(ivf.residuals(ivf.assign(tokens, centroids), centroids))
+    return ivf.search(_token_queries(spark, d), ivf.build(tokens, centroids, codec), centroids, codec, K, PROBES_TRAINED)
+
+
+@query()
+def rerank_trained(spark, d):
+    """The passages that the trained index finds, ranked again exactly."""
+    return multivector.rerank(maxsim_trained_topk(spark, d), _token_queries(spark, d), _tokens(spark, d).withColumnRenamed("pid", "doc_id"))
+
+
 @query(f"WITH {HITS} SELECT round(count(*) / count(DISTINCT (query_id, q_pos, pid)), 9) AS mean_duplicates FROM ht")
 def ivf_duplicate_rate(spark, d):
     return ivf.duplicate_rate(_hits(spark, d)).withColumn("mean_duplicates", F.round("mean_duplicates", 9))
