@@ -211,10 +211,18 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("id"), docs["text"].alias("text"))
-    return _judged(find(kept, benchmark, window)).filter(~F.col("contaminated")).select("id.*")
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = 0.0) -> DataFrame:
+    """The documents without a benchmark hit, with all their columns.
+
+    Every document that holds a window of an item goes, however long it is. A
+    ``min_share`` above 0 spares those of whose words a smaller share is hit.
+    Null and empty texts stay; an empty benchmark keeps everything.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    others = [docs[c].alias(n) for c, n in zip(docs.columns, names) if c != "text"]
+    rows = docs.select(F.struct(*others).alias("id"), docs["text"].alias("text"))
+    kept = _judged(find(rows, benchmark, window)).filter((F.col("n_hit") == 0) | (F.col("n_hit") < F.lit(min_share) * F.col("n_words")))
+    return kept.select(*[(F.col("text").cast(docs.schema["text"].dataType) if c == "text" else F.col(f"id.{n}")).alias(c) for c, n in zip(docs.columns, names)])
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

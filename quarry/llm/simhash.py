@@ -50,11 +50,16 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     ends = ends[shingle - 1 :].tolist() if len(words) >= shingle else [len(joined)]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, n)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of ``hashes``."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int((np.uint64(1) << np.arange(64, dtype=np.uint64))[2 * ones > n].sum(dtype=np.uint64))
+    return int((np.uint64(1) << np.arange(64, dtype=np.uint64))[2 * ones > len(hashes)].sum(dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -200,14 +205,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, group_limit: int = GROUP_
     return fps.join(nodes.join(of, "component").select("fp", "n_equal", "component_id"), "fp").select("id", "fp", "component_id", "n_equal")
 
 
-def keep_one(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """One document of each group, the smallest doc_id (then text checksum), with all its columns; rows equal in both are one."""
-    me = F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("h"))
-    found = near_duplicates(docs.select(me.alias("id"), docs["text"].alias("text")), shingle)
-    kept = found.filter(F.col("id") == F.col("component_id")).select("id").distinct()
-    return docs.join(kept, me.eqNullSafe(kept["id"]), "left_semi").dropDuplicates(["doc_id", "text"])
-
-
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_equal")

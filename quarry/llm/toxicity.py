@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, slices, table
 
 MAX_ROWS = 30_000
 MAX_FEATURES = 200_000
@@ -226,24 +226,33 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     Null, empty and blank texts have no words and score by the calibrated
     level alone. Rows are kept as they are; no other column is read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select("id", F.col("text").cast("string").alias("text"))
+    return _scored(rows, model, threshold, lambda batch: batch.column(1))
+
+
+def _scored(rows: DataFrame, model: Model, threshold: float, text_of) -> DataFrame:
+    """``rows`` (id, ...) scored by the texts that ``text_of`` finds in a batch."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         scorer = Scorer(sent.value)
-        for batch in batches:
-            got = [scorer.evidence(t) for t in batch.column(1).to_pylist()]
+        for batch in slices(batches):
+            got = [scorer.evidence(t) for t in text_of(batch).to_pylist()]
             s = [scorer.score(e) for e, _ in got]
             spans = pa.array([[{"start": lo, "end": hi, "weight": float(x)} for lo, hi, x in found] for _, found in got], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32()), pa.array([len(f) for _, f in got], pa.int64()), spans], names=["id", "score", "predicted", "n_passages", "passages"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double, predicted int, n_passages long, passages array<struct<start:int,end:int,weight:double>>")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, score double, predicted int, n_passages long, passages array<struct<start:int,end:int,weight:double>>")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that are not predicted toxic, with all their columns."""
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("id"), docs["text"].alias("text"))
-    return score(held, model, threshold).filter("predicted = 0").select("id.*")
+    """The rows that are not predicted toxic, with all their columns. ``text`` is a string column."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    held = docs.select(F.struct(*[docs[c].alias(n) for c, n in zip(docs.columns, names)]).alias("id"))
+    kept = _scored(held, model, threshold, lambda batch: batch.column(0).field(at)).filter("predicted = 0")
+    return kept.select(*[F.col(f"id.{n}").alias(c) for c, n in zip(docs.columns, names)])
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,13 +232,6 @@ def test_pigeonring_loses_no_link(spark, limit):
     assert len(set(zip(ours, roots))) == len(set(ours)) == len(set(roots))
 
 
-def test_keep_one(spark):
-    df = spark.createDataFrame([(3, "a b c d e", "x"), (1, "a b c d e", "y"), (2, "quite another text here", "z"), (None, None, "n"), (9, "", "m")], "doc_id long, text string, id string")
-    got = simhash.keep_one(df)
-    assert got.columns == df.columns
-    assert {r["doc_id"] for r in got.collect()} == {1, 2, None}
-
-
 def test_components(spark):
     r = random.Random(1)
     pairs = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 420)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
@@ -286,6 +279,16 @@ def test_longest_match(spark, docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2] and kept.columns == ["doc_id", "text", "items"]
 
 
+def test_long_documents_with_a_hit_go(spark, docs):
+    """One window in a text of thousands of words is under 5 percent of it, and enough."""
+    item = " ".join(f"w{k}" for k in range(13))
+    texts = ["x " * 3000 + item + " y" * 3000, "x " * 3000 + item[:-1], item, "", None]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = lambda share: sorted(r["doc_id"] for r in decontaminate.clean(docs(texts), bench, min_share=share).collect())
+    assert left(0.0) == [1, 3, 4] and left(0.05) == [0, 1, 3, 4]
+    assert decontaminate.clean(docs(texts), bench.limit(0)).count() == 5
+
+
 @pytest.mark.parametrize("rows", [8192, 7])
 def test_embeddings(spark, rows):
     r = np.random.default_rng(2)

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+from quarry.llm import jaccard
 from test_exact import groups
 
 
@@ -40,6 +41,25 @@ def test_near_dedup_stage_against_brute_force(spark, docs):
 
 
 def test_keep_one_keeps_columns(spark):
-    df = spark.createDataFrame([(3, "a b c d e", 1), (1, "a b c d e", 2), (2, "quite another text here", 3), (None, None, 4), (9, "", 5)], "doc_id long, text string, node long")
+    df = spark.createDataFrame([(3, "a b c d e", 1), (1, "a b c d e", 2), (2, "quite another text here", 3), (None, None, 4), (9, "", 5), (5, " ", 6), (1, "a b c d e", 2), (None, "alone", 7)], "doc_id long, text string, node long")
     got = corpus_pipeline.drop_near_duplicates(spark, df, "")
-    assert got.columns == df.columns and {r["doc_id"] for r in got.collect()} == {1, 2, None}
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or -1, r["node"]) for r in got.collect()) == [(-1, 7), (1, 2), (2, 3), (5, 6)]
+
+
+def test_many_texts_too_far_from_each_other(spark, docs):
+    """A large group around one text: some members are near it, most share bands but are too far; the bound loses none."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    base = [word() for _ in range(120)]
+    texts = []
+    for k in range(150):
+        copy = list(base)
+        for at in r.sample(range(120), 1 + k % 6):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    sets = [plain_shingles(t) for t in texts]
+    roots = groups(len(sets), lambda a, b: similar(sets[a], sets[b]))
+    assert len(set(roots)) > 20
+    got = {x["id"]: x["component_id"] for x in jaccard.near_duplicates(docs(texts).withColumnRenamed("doc_id", "id")).collect()}
+    assert got == dict(enumerate(roots))
