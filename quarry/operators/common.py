@@ -5,19 +5,35 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BROADCAST_ROWS = 200_000
-BLOCK_ROWS = 4096
+from ..storage import cut
 
+BROADCAST_BYTES = 32 << 20
+BLOCK_ROWS = 4096
 
-def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is, for a shuffled join.
 
-    Looks at one row more than the bound at most.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """About the memory that a value takes."""
+    zero = F.lit(0).cast("long")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c).cast("long"), zero) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            return F.coalesce(F.aggregate(c, zero, lambda a, x: a + _bytes(x, kind.elementType)), zero) + 24
+        return F.coalesce(8 * F.size(c).cast("long"), zero) + 24
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(c[f.name], f.dataType) for f in kind.fields), zero)
+    return F.lit(8).cast("long")
+
+
+def sized(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, written down once, and marked for broadcast if its values take at most ``max_bytes``; else its join is shuffled."""
+    held = cut(df)
+    total = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8).cast("long"))
+    return F.broadcast(held) if (held.agg(F.sum(total)).first()[0] or 0) <= max_bytes else held
 
 
 def top_k(df: DataFrame, by: list[str], score: str, tie: list[str], k: int, ascending: bool = False) -> DataFrame:

@@ -57,7 +57,8 @@ def _scored(postings: DataFrame, block: list, k: int, kinds: str, token_kind: st
                 e = np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count) + starts[n[p]]
                 docs = min(step, len(edges) - 1 - lo)
                 s = np.bincount((code[p] - lo) * len(names) + q[e], impact[p] * w[e], docs * len(names)).reshape(docs, -1)
-                best.add(np.where(s == 0, -np.inf, s).T, ids[edges[lo : lo + docs]])
+                hit = np.bincount((code[p] - lo) * len(names) + q[e], minlength=docs * len(names)).reshape(docs, -1) > 0
+                best.add(np.where(hit, s, -np.inf).T, ids[edges[lo : lo + docs]])
 
         held = None
         for batch in batches:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .common import sized
+from ..storage import cut, spread
+from .common import blocks_of, sized
 
 GRAM = 4
 
@@ -16,15 +18,41 @@ def _gram(ts: Column, at: Column) -> Column:
 
 
 def containment(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, relevance = 1): documents (doc_id, text) that contain a query's text, of 6 tokens or more, as it stands.
+    """(query_id, doc_id, relevance = 1): documents (doc_id, text) that contain a query's text as it stands.
 
-    Each query is found by the gram of its second to fifth token; only pairs
-    that share one are compared, so no text meets all queries.
+    Each query of 6 tokens or more is found by the gram of its second to fifth
+    token; only pairs that share one are compared, so no text meets all
+    queries. Shorter ones, which may be part of any word, are looked for in
+    every text, a bounded block of queries at a time. A null text contains
+    nothing and is contained in nothing; an empty query is in every text.
     """
-    q = queries.select("query_id", F.col("text").alias("qtext"), tokens(F.col("text")).alias("ts")).filter(F.size("ts") >= GRAM + 2)
+    docs = spread(docs.select("doc_id", "text"))
+    q = cut(queries.filter("text is not null").select("query_id", F.col("text").alias("qtext"), tokens(F.col("text")).alias("ts")))
+    short, q = q.filter(F.size("ts") < GRAM + 2).select("query_id", "qtext"), q.filter(F.size("ts") >= GRAM + 2)
     keys = sized(q.select("query_id", _gram(F.col("ts"), F.lit(2)).alias("g")))
     ts = docs.select("doc_id", tokens(F.col("text")).alias("ts")).filter(F.size("ts") >= GRAM)
     grams = ts.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ts") - (GRAM - 1)), lambda i: _gram(F.col("ts"), i)))).alias("g"))
     pairs = grams.join(keys, "g").select("query_id", "doc_id").distinct()
     near = pairs.join(sized(q.select("query_id", "qtext")), "query_id").join(docs.select("doc_id", "text"), "doc_id")
-    return near.filter(F.contains("text", "qtext")).select("query_id", "doc_id", F.lit(1).alias("relevance"))
+    found = near.filter(F.contains("text", "qtext")).select("query_id", "doc_id")
+    for block in blocks_of(short, "query_id"):
+        if block:
+            found = found.unionByName(_holding(docs, block, found.schema))
+    return found.select("query_id", "doc_id", F.lit(1).alias("relevance"))
+
+
+def _holding(docs: DataFrame, block: list, schema) -> DataFrame:
+    """(query_id, doc_id) of the texts that hold one of a block of query texts."""
+    sent = docs.sparkSession.sparkContext.broadcast([(r["query_id"], r["qtext"]) for r in block])
+    kinds = [pa.array([q for q, _ in sent.value]).type, None]
+
+    def run(batches):
+        for batch in batches:
+            q, at = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                held = [name for name, said in sent.value if said in text] if text is not None else []
+                q += held
+                at += [k] * len(held)
+            yield pa.RecordBatch.from_arrays([pa.array(q, kinds[0]), batch.column(0).take(pa.array(at, pa.int64()))], names=["query_id", "doc_id"])
+
+    return docs.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..storage import cut, spread
 from . import impact as impacts
 from .common import sized
 
@@ -15,7 +16,7 @@ K1, B = 0.82, 0.68
 
 
 def term_counts(collection: DataFrame, id_col: str = "id", text_col: str = "contents") -> DataFrame:
-    """(id, dl, term, tf).
+    """(id, dl, term, tf, nth), ``nth`` numbering the terms of a text.
 
     Runs of a text's sorted terms are counted inside its row, so nothing is
     shuffled.
@@ -25,7 +26,7 @@ def term_counts(collection: DataFrame, id_col: str = "id", text_col: str = "cont
     runs = ts.select(id_col, "ts", F.when(F.size("ts") > 0, begins).alias("begins"))
     count = lambda i, j: F.coalesce(F.get("begins", j + 1), F.size("ts")) - i
     each = F.transform("begins", lambda i, j: F.struct(F.get("ts", i).alias("term"), count(i, j).cast("long").alias("tf")))
-    return runs.select(id_col, F.size("ts").alias("dl"), F.explode(each).alias("t")).select(id_col, "dl", "t.term", "t.tf")
+    return runs.select(id_col, F.size("ts").alias("dl"), F.posexplode(each).alias("nth", "t")).select(id_col, "dl", "t.term", "t.tf", "nth")
 
 
 def doc_lengths(collection: DataFrame, id_col: str = "id", text_col: str = "contents") -> DataFrame:
@@ -47,8 +48,15 @@ class Index:
 
 
 def build(collection: DataFrame, id_col: str = "id", text_col: str = "contents") -> Index:
-    lengths = doc_lengths(collection, id_col, text_col)
-    return Index(term_counts(collection, id_col, text_col).withColumnRenamed(id_col, "id"), lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    """The texts are read and split once; postings are written down, and all that a search needs comes from them."""
+    counts = cut(term_counts(spread(collection.select(id_col, text_col)), id_col, text_col))
+    first = counts.filter("nth = 0")
+    return Index(counts.select(F.col(id_col).alias("id"), "dl", "term", "tf"), cut(first.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))))
+
+
+def with_fields(collection: DataFrame, fields: tuple[str, ...] = ("contents",), id_col: str = "id") -> DataFrame:
+    """(id, contents): the text to index, made of ``fields`` (title and contents, say) joined by a space; null fields are empty."""
+    return collection.select(id_col, F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in fields]).alias("contents"))
 
 
 def write(index: Index, path: str, partitions: int | None = None) -> None:

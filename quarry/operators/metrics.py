@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 KS = (1, 5, 10, 20, 50, 100, 1000)
 
 
@@ -15,7 +17,7 @@ def per_query(run: DataFrame, qrels: DataFrame, ks=KS, distinct: bool = False) -
     relevance); relevance above 0 counts. A repeated judgement counts as often
     as it stands, unless ``distinct``; a document twice in a run is two hits.
     """
-    relevant = qrels.filter("relevance > 0")
+    relevant = cut(qrels.filter("relevance > 0").select("query_id", "doc_id"))  # read twice
     n_rel = relevant.groupBy("query_id").agg((F.countDistinct("doc_id") if distinct else F.count("*")).alias("n_rel"))
     pairs = relevant.select("query_id", "doc_id", F.lit(True).alias("hit")).distinct()
     gain = 1 / F.log2(F.col("rank") + 1)

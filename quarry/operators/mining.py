@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .sampling import pick
 
 
@@ -15,7 +16,7 @@ def hard_negatives(run: DataFrame, qrels: DataFrame, k: int = 100) -> DataFrame:
     relevance, line_no); first is by line_no. Queries without a relevant
     document are left out; one whose hits are all relevant has no negatives.
     """
-    relevant = qrels.filter("relevance > 0")
+    run, relevant = cut(run), cut(qrels.filter("relevance > 0"))  # each is read twice
     first = relevant.groupBy("query_id").agg(F.min_by("doc_id", F.struct("line_no", "doc_id")).alias("pos_id"))
     negative = run.filter(F.col("rank") <= k).join(relevant.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_anti")
     listed = negative.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("neg_ids"))  # k rows

@@ -16,8 +16,8 @@ def activate(logits: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def to_sparse(dense: DataFrame, id_col: str = "id", vector: str = "v") -> DataFrame:
-    """Non-zero places of dense rows; a row without any vanishes."""
-    return dense.select(id_col, F.posexplode(vector).alias("token", "weight")).filter("weight > 0")
+    """Places of dense rows that are not zero, negative ones too; a row without any vanishes."""
+    return dense.select(id_col, F.posexplode(vector).alias("token", "weight")).filter("weight <> 0")
 
 
 def prune(vectors: DataFrame, n: int = 200, id_col: str = "id") -> DataFrame:

@@ -18,6 +18,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import dense, encoders, ivf, judge, lexical, metrics, mining, multivector, sampling, sparse
 from ..sources import readers, sinks
+from ..storage import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -78,7 +79,7 @@ def _centroids(spark, d):
 
 
 def _sparse(spark, d, name, id_col, out):
-    counts = lexical.term_counts(table(spark, d, name), id_col, "text")
+    counts = lexical.term_counts(spread(table(spark, d, name).select(id_col, "text")), id_col, "text")
     return counts.select(F.col(id_col).alias(out), F.col("term").alias("token"), F.log1p(F.col("tf").cast("double")).alias("weight"))
 
 
@@ -220,7 +221,7 @@ def best_checkpoint(spark, d):
 
 @query(f"SELECT term, count(*) AS cf FROM (SELECT unnest({TOK('text')}) AS term FROM documents) WHERE term <> '' GROUP BY term")
 def tokenize_terms(spark, d):
-    return table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
+    return spread(table(spark, d, "documents").select("text")).select(F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
 
 
 @query(f"WITH {TERMS} SELECT doc_id, CAST(dl AS BIGINT) AS dl FROM dl")
@@ -286,10 +287,9 @@ def dense_ip_topk(spark, d):
     return dense.search(_vector_queries(spark, d), _vectors(spark, d), K)
 
 
-@query(_vector_sql("list_distance(list_transform(qv, lambda x: 2 * x), v)", "ASC"))
+@query(_vector_sql("list_distance(qv, v)", "ASC"))
 def dense_l2_topk(spark, d):
-    doubled = _vector_queries(spark, d).withColumn("v", F.transform(V.doubles(F.col("v")), lambda x: 2 * x))
-    return dense.search(doubled, _vectors(spark, d), K, metric="l2")
+    return dense.search(_vector_queries(spark, d), _vectors(spark, d), K, metric="l2")
 
 
 def _vector_run(spark, d):
@@ -398,7 +398,7 @@ def sparse_dot_topk(spark, d):
     return sparse.search(_sparse(spark, d, "benchmark", "item_id", "query_id"), postings, K)
 
 
-@query("SELECT vec_id, dim - 1 AS token, round(x, 9) AS weight FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings) WHERE x > 0")
+@query("SELECT vec_id, dim - 1 AS token, round(x, 9) AS weight FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings) WHERE x <> 0")
 def dense_to_sparse(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("v"))
     return sparse.to_sparse(rows, "vec_id", "v").withColumn("weight", F.round("weight", 9))
@@ -544,9 +544,8 @@ def ivf_duplicate_rate(spark, d):
 
 @query("SELECT n, least(1 + CAST(floor(16 * sqrt(n)) AS BIGINT), n) AS sample_size, CAST(2 ** floor(log2(16 * sqrt(n))) AS BIGINT) AS partitions FROM (SELECT count(*) AS n FROM embeddings)")
 def sample_partition_counts(spark, d):
-    n = F.col("n")
-    size = F.least(1 + F.floor(16 * F.sqrt(n)), n)
-    return table(spark, d, "embeddings").agg(F.count("*").alias("n")).select("n", size.alias("sample_size"), F.pow(F.lit(2), F.floor(F.log2(16 * F.sqrt(n)))).cast("long").alias("partitions"))
+    n = table(spark, d, "embeddings").count()
+    return spark.createDataFrame([(n, sampling.sample_size(n), sampling.partitions_for(n))], "n long, sample_size long, partitions long")
 
 
 @query()

@@ -13,10 +13,25 @@ from pyspark.sql import functions as F
 from . import schema as S
 
 
+def in_order(read, *paths: str, name: str = "line_no") -> DataFrame:
+    """``read(path)`` of all ``paths`` together, with ``name``: a struct that grows along the lines.
+
+    Paths count in the order given, the files of one by their names, then the
+    splits of a file and the rows of a split. Spark itself deals splits by size.
+    """
+    place = lambda p: F.struct(
+        F.lit(p).alias("path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+    parts = [read(path).select("*", place(p).alias(name)) for p, path in enumerate(paths)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def text_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(file, line_no, value). Numbers grow along each file; Spark keeps a file's splits in order."""
-    raw = spark.read.text(list(paths))
-    return raw.select(F.col("_metadata.file_name").alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("line_no"), "value")
+    """(value, line_no); ``line_no`` grows along the lines."""
+    return in_order(spark.read.text, *paths)
 
 
 def _fields(line: Column) -> Column:
@@ -111,13 +126,13 @@ def read_training(spark: SparkSession, path: str) -> DataFrame:
 
 def read_collection(spark: SparkSession, *paths: str, unique: bool = True) -> DataFrame:
     """JSON Lines documents; of a repeated id the last line stays, unless ``unique`` is false."""
-    rows = spark.read.schema(S.DOCUMENT).json(list(paths))
-    return last_wins(rows.withColumn("_n", F.monotonically_increasing_id()), "id", "_n").drop("_n") if unique else rows
+    read = spark.read.schema(S.DOCUMENT).json
+    return last_wins(in_order(read, *paths, name="_n"), "id", "_n").drop("_n") if unique else read(list(paths))
 
 
 def read_queries(spark: SparkSession, *paths: str, unique: bool = True) -> DataFrame:
-    rows = spark.read.schema(S.QUERY).json(list(paths))
-    return last_wins(rows.withColumn("_n", F.monotonically_increasing_id()), "id", "_n").drop("_n") if unique else rows
+    read = spark.read.schema(S.QUERY).json
+    return last_wins(in_order(read, *paths, name="_n"), "id", "_n").drop("_n") if unique else read(list(paths))
 
 
 def read_qrels(spark: SparkSession, *paths: str, positive: bool = True) -> DataFrame:
@@ -127,7 +142,7 @@ def read_qrels(spark: SparkSession, *paths: str, positive: bool = True) -> DataF
 
 def numbered_qrels(spark: SparkSession, *paths: str) -> DataFrame:
     """Judgements with ``line_no``, which grows along the lines."""
-    return read_qrels(spark, *paths, positive=False).withColumn("line_no", F.monotonically_increasing_id())
+    return in_order(spark.read.schema(S.QREL).json, *paths)
 
 
 def read_triples(spark: SparkSession, *paths: str) -> DataFrame:

@@ -8,8 +8,24 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder (``spark.checkpoint.dir``; a temporary one only where that is unset) and forget its lineage."""
+    """Write ``df`` to the checkpoint folder and forget its lineage.
+
+    The cluster names the folder in ``spark.checkpoint.dir``. Only a session
+    whose executors are threads of the driver gets a temporary one if that is
+    unset; any other must name a folder that all its machines share.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="quarry-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it comes from fewer files than that: a small file is one row group, and so one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores // 2 else df

@@ -57,6 +57,26 @@ def test_last_duplicate_wins(spark, tmp_path):
     assert readers.read_collection(spark, str(path), unique=False).count() == 2
 
 
+def test_last_duplicate_wins_across_files(spark, tmp_path):
+    """The order of the paths counts, not that of their sizes."""
+    line = '{"id": "%s", "contents": "%s", "title": "", "text": "%s"}\n'
+    small, large = tmp_path / "z.jsonl", tmp_path / "a.jsonl"
+    small.write_text(line % ("x", "small", "small"))
+    large.write_text("".join(line % (f"n{k}", "fill", "fill") for k in range(2000)) + line % ("x", "large", "large"))
+    for a, b in ((small, large), (large, small)):
+        newest = b.stem == "a" and "large" or "small"
+        for read, name in ((readers.read_collection, "contents"), (readers.read_queries, "text")):
+            assert read(spark, str(a), str(b)).filter("id = 'x'").first()[name] == newest
+
+
+def test_numbered_qrels_follow_the_files(spark, tmp_path):
+    line = '{"query_id": "q", "doc_id": "%s", "relevance": 1}\n'
+    (tmp_path / "b.jsonl").write_text(line % "first")
+    (tmp_path / "a.jsonl").write_text("".join(line % f"d{k}" for k in range(500)))
+    rows = readers.numbered_qrels(spark, str(tmp_path / "b.jsonl"), str(tmp_path / "a.jsonl"))
+    assert [r["doc_id"] for r in rows.orderBy("line_no").limit(2).collect()] == ["first", "d0"]
+
+
 def test_dev_files(spark, tmp_path):
     (tmp_path / "top.tsv").write_text("q1\td3\tq\tp\nq1\td1\tq\tp\nq2\td9\tq\tp\n")
     got = readers.grouped_in_order(readers.read_dev_top(spark, str(tmp_path / "top.tsv"))).collect()
