@@ -12,11 +12,12 @@ and every turn can be read back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
+SLICE = 256
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 
 
@@ -36,6 +37,22 @@ def _unescape_role(c: Column) -> Column:
     return _unescape(F.replace(c, F.lit("<\\n"), F.lit("\n")))
 
 
+def _before(lengths: Column) -> Column:
+    """Of each element of an array of longs, the sum of those before it.
+
+    An aggregation that appends copies what it has so far, so it works on
+    slices of SLICE elements, and then on their totals.
+    """
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("total"), F.array().cast("array<long>").alias("sums"))
+    add = lambda a, x: F.struct((a["total"] + x).alias("total"), F.array_append(a["sums"], a["total"]).alias("sums"))
+    n = F.ceil(F.size(lengths) / F.lit(SLICE)).cast("int")
+    slices = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.aggregate(F.slice(lengths, k * SLICE + 1, F.lit(SLICE)), start, add)))
+    far = lambda found: F.aggregate(F.transform(found, lambda x: x["total"]), start, add)["sums"]
+    held = lambda found: F.flatten(F.zip_with(found, far(found), lambda x, at: F.transform(x["sums"], lambda y: y + at)))
+    return F.coalesce(F.get(F.transform(F.array(slices), held), F.lit(0)), F.array().cast("array<long>"))
+
+
 def format_chats(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans.
 
@@ -45,23 +62,31 @@ def format_chats(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     rows are repeated turns. ``loss_spans`` lists start and length, in code
     points of ``formatted``, of each text of the ``trained`` role. An empty
     table gives an empty result.
+
+    A conversation's turns are collected as structs and sorted; adjacent turns
+    of one role become one block, an array of their texts.
     """
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    opens = F.lag("role").over(w).isNull() | (F.lag("role").over(w) != F.col("role"))
-    closes = F.lead("role").over(w).isNull() | (F.lead("role").over(w) != F.col("role"))
-    t = t.select("*", opens.alias("opens"), closes.alias("closes"), _escape(F.col("text")).alias("body"), _escape_role(F.col("role")).alias("name"))
-    t = t.withColumn("head", F.when(F.col("opens"), F.concat(F.lit(START), "name", F.lit("\n"))).otherwise(F.lit(SEP)))
-    t = t.withColumn("tail", F.when(F.col("closes"), F.lit(f"{END}\n")).otherwise(F.lit("")))
-    piece = (F.length("head") + F.length("body") + F.length("tail")).cast("long")
-    before = F.coalesce(F.sum(piece).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    t = t.select("conv_id", F.struct("turn", "role", "text", (before + F.length("head")).alias("start"), "head", "body", "tail").alias("t"))
-    done = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    return done.select(
-        "conv_id",
-        F.array_join(F.transform("ts", lambda x: F.concat(x["head"], x["body"], x["tail"])), "").alias("formatted"),
-        F.transform(F.filter("ts", lambda x: x["role"] == trained), lambda x: F.struct(x["start"].alias("start"), F.length(x["body"]).cast("long").alias("length"))).alias("loss_spans"),
-    )
+    t = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    sorted_ = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    opens = F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (F.get("ts", i)["role"] != F.get("ts", i - 1)["role"]))
+    opened = sorted_.select("conv_id", "ts", opens.alias("opens"))
+    texts = lambda i, k: F.slice("ts", i + 1, F.coalesce(F.get("opens", k + 1), F.size("ts")) - i)
+    merged = F.transform("opens", lambda i, k: F.struct(
+        F.get("ts", i)["role"].alias("role"),
+        F.concat(F.lit(START), _escape_role(F.get("ts", i)["role"]), F.lit("\n")).alias("head"),
+        F.transform(texts(i, k), lambda x: _escape(x["text"])).alias("bodies"),
+    ))
+    blocks = opened.select("conv_id", merged.alias("blocks"))
+    said = F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["bodies"], SEP), F.lit(f"{END}\n")))
+    said = blocks.select("conv_id", "blocks", said.alias("said"))
+    placed = said.select("conv_id", "blocks", F.array_join("said", "").alias("formatted"), _before(F.transform("said", lambda x: F.length(x).cast("long"))).alias("starts"))
+    lengths = lambda b: F.transform(b["bodies"], lambda x: F.length(x).cast("long"))
+    ahead = lambda b: _before(F.transform(b["bodies"], lambda x: (F.length(x) + len(SEP)).cast("long")))
+    spans = F.zip_with("blocks", "starts", lambda b, at: F.when(
+        b["role"] == trained,
+        F.zip_with(ahead(b), lengths(b), lambda y, n: F.struct((at + F.length(b["head"]) + y).alias("start"), n.alias("length"))),
+    ))
+    return placed.select("conv_id", "formatted", F.flatten(F.filter(spans, lambda x: x.isNotNull())).alias("loss_spans"))
 
 
 def parse_chats(formatted: DataFrame) -> DataFrame:

@@ -371,6 +371,16 @@ def test_chat(spark):
     assert chat.digest_chats(df.limit(0)).count() == 0
 
 
+def test_long_conversation(spark):
+    """More turns than a slice, with long runs of one role."""
+    r = random.Random(6)
+    said = [(["user", "assistant"][(k // 300) % 2] if k < 1200 else r.choice(["user", "assistant"]), "".join(r.choices("ab\\\\<|é", k=r.randrange(6)))) for k in range(2600)]
+    df = spark.createDataFrame([(1, k, ro, x) for k, (ro, x) in enumerate(said)], "conv_id long, turn long, role string, text string")
+    back = chat.parse_chats(chat.format_chats(df)).first()
+    assert [(t["role"], t["text"]) for t in back["turns"]] == said
+    assert back["loss"] == [x for ro, x in said if ro == "assistant"]
+
+
 def test_sharding(spark, docs):
     texts = [None, "", "é"] + [f"text {k}" * (k % 7) for k in range(500)]
     df = docs(texts)
