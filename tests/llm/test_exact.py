@@ -136,7 +136,7 @@ def test_kernels():
     assert starts.tolist() == [0, 3, 3, 4] and tokens[1] == tokens[3]
 
 
-def lines_kept(texts, ids, min_lines=2, min_chars=200):
+def lines_kept(texts, ids, min_lines=2, min_chars=20):
     seqs = [[(i, x) for i, x in enumerate(t.split("\n")) if x.strip(" ")] if t is not None else [] for t in texts]
     order = sorted(range(len(texts)), key=lambda k: ids[k])
     seen, out = set(), {}
@@ -166,6 +166,18 @@ def test_lines(spark, docs, min_lines):
     assert got == lines_kept(texts, list(range(len(texts))), min_lines, 25)
 
 
+def test_longest_run(spark, docs):
+    """Runs of any length come out whole, whatever lies before, behind and between them."""
+    pool = [f"a line of its own {k}" for k in range(400)]
+    runs = {n: pool[at : at + n] for n, at in ((2, 0), (3, 5), (5, 10), (8, 20), (13, 40), (31, 60), (64, 100), (100, 200))}
+    texts, expected = ["\n".join(pool)], [0]
+    for k, (n, run) in enumerate(runs.items()):
+        texts.append("\n".join([f"before {k}", *run, f"behind {k}", *runs[2], f"end {k}"]))
+        expected.append(n)
+    got = {x["id"]: (x["longest_run"], x["n_runs"]) for x in line_dedup.deduplicate(docs(texts).withColumnRenamed("doc_id", "id")).collect()}
+    assert got == {k: (n, 2 if k else 0) for k, n in enumerate(expected)}
+
+
 def test_equal_rows_are_one_document(spark):
     """They keep and lose the same lines, and are no copies of each other."""
     df = spark.createDataFrame([(5, "a\nb"), (5, "a\nb"), (1, "c\nd"), (7, "c\nd\ne\na\nb"), (7, "c\nd\ne\na\nb")], "id long, text string")
