@@ -166,9 +166,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     may = (F.col("node") < F.col("node2")) & (F.col("of") != F.col("of2")) & _sizes_allow(F.col("n"), F.col("n2")) & _enough(F.least("n_shared", "n_shared2"), total)
     apart = placed.alias("p").join(other.alias("o"), (F.col("p.band") == F.col("o.band")) & may & _enough(bound, total))
     apart = apart.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(tied, ["a", "b"], "left_anti")
-    found = components(links.unionByName(_verified(apart, sets)))
-
-    placed = nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    # what these pairs join are components: few nodes, named by their smallest one
+    part = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    more = _verified(apart, sets).join(part("a"), "a", "left").join(part("b"), "b", "left")
+    joined = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+
+    placed = nodes.select("node", "least").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = placed.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
+    placed = placed.select("node", "least", F.coalesce("whole", "component").alias("component"))
     of = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     return keyed.select("id", "node").join(placed.join(of, "component").select("node", "component_id"), "node").select("id", "component_id")
 
