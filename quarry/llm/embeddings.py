@@ -1,8 +1,9 @@
 """Embedding near-duplicates by int8 tile products with rigorous error bounds.
 
 Equal vectors are one node with a count. The distinct ones are dealt into
-blocks of a fixed number of rows, and a task holds two blocks: every pair of
-blocks meets once. Inside, a vector x of unit length is stored as int8 numbers
+blocks of a bounded number of rows, and a task holds two blocks: every pair of
+blocks meets once. A task returns each vector's number of links and what the
+links join, never the pairs. Inside, a vector x of unit length is stored as int8 numbers
 q with scale s and the exact length e of its rounding error x - s q. Then
 ``|x.y - s t (q.p)| <= e |t p| + f |s q| + e f``, so the integer product of a
 tile decides nearly every pair; only pairs possibly at the threshold or above
@@ -67,32 +68,71 @@ def tile_pairs(a: np.ndarray, b: np.ndarray, threshold: float, same: bool):
                     yield u[ok], v[ok]
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at unit length; their largest components are taken out first, so that no square is lost at either end of the range."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def join(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Put each ``u[k]`` and ``v[k]`` under one root, the smaller; ``root`` holds every place's root before and after."""
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            above = root[root]
+            if (above == root).all():
+                break
+            root[:] = above
+
+
+def blocks_for(n: int, cores: int, block_rows: int) -> int:
+    """Blocks of at most ``block_rows`` rows, and so many that their pairs are a few tasks for each core if rows allow it."""
+    wanted = 1
+    while wanted * (wanted + 1) // 2 < 4 * cores and n // (wanted + 1) >= TILE:
+        wanted += 1
+    return max(1, -(-n // block_rows), wanted)
+
+
 def links(nodes: DataFrame, threshold: float = 0.9, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b) of every pair of ``nodes`` (node, v: unit array<double>) with cosine >= threshold; a < b as stored ids."""
+    """(a, b, n) of the pairs of ``nodes`` (node, v, w: a weight) with cosine >= threshold.
+
+    Rows with ``a = b`` give parts of a node's sum of the weights of what it
+    links with. The others are links, or what links imply: ``a`` and ``b`` are
+    joined by pairs of one task. So a task returns no more rows than it has
+    nodes, twice, however many pairs there are.
+    """
     n = nodes.count()
-    blocks = max(1, -(-n // block_rows))
+    blocks = blocks_for(n, nodes.sparkSession.sparkContext.defaultParallelism, block_rows)
     rows = nodes.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.lit(blocks)).cast("int"))
     # each row goes to the tasks of its block with every block: pair (i, j), i <= j, is task i * blocks + j
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = rows.withColumn("with", other).select((F.least("block", "with") * F.lit(blocks).cast("long") + F.greatest("block", "with")).alias("task"), F.col("block"), "node", "v")
+    dealt = rows.withColumn("with", other).select((F.least("block", "with") * F.lit(blocks).cast("long") + F.greatest("block", "with")).alias("task"), F.col("block"), "node", "w", "v")
 
     def compare(key: tuple, batch: pa.Table) -> pa.Table:
         task = key[0].as_py()
         i, j = divmod(task, blocks)
-        block, node = batch.column("block").to_numpy(), batch.column("node").to_numpy()
+        block, node, w = (batch.column(c).to_numpy() for c in ("block", "node", "w"))
         vectors = batch.column("v").combine_chunks()
-        x = np.asarray(vectors.flatten()).reshape(len(node), -1)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit(np.asarray(vectors.flatten(), float).reshape(len(node), -1))
         own, far = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
+        root, sums = np.arange(len(node)), np.zeros(len(node), np.int64)
         if len(own) and len(far):
             for u, v in tile_pairs(x[own], x[far], threshold, i == j):
-                a.append(node[own[u]]), b.append(node[far[v]])
-        a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                u, v = own[u], far[v]
+                np.add.at(sums, u, w[v])
+                np.add.at(sums, v, w[u])
+                join(root, u, v)
+        linked, below = np.flatnonzero(sums), np.flatnonzero(root != np.arange(len(node)))
+        none = np.zeros(len(below), np.int64)
+        return pa.table({"a": np.r_[node[linked], node[root[below]]], "b": np.r_[node[linked], node[below]], "n": np.r_[sums[linked], none]})
 
     tasks = blocks * (blocks + 1) // 2
-    return dealt.repartition(min(tasks, 100_000), "task").groupBy("task").applyInArrow(compare, "a long, b long")
+    return dealt.repartition(min(tasks, 100_000), "task").groupBy("task").applyInArrow(compare, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -104,23 +144,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block_rows: int
     rows are separate vectors that link with each other. Other columns are not
     read; an empty table gives an empty result.
     """
-    rows = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("ok", usable(F.col("v")))
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    stored = F.col("embedding") if kind in ("float", "double") else F.col("embedding").cast("array<double>")
+    rows = vectors.select("vec_id", stored.alias("v")).withColumn("ok", usable(F.col("v")))
     good = rows.filter("ok")
     nodes = cut(good.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n_equal")).withColumn("node", F.monotonically_increasing_id()))
     of = good.select("vec_id", "v").join(nodes.select("v", "node"), "v").select("vec_id", "node")
     found = []
     for r in nodes.select(F.size("v").alias("d")).distinct().collect():  # vectors' lengths
-        found.append(links(nodes.filter(F.size("v") == r["d"]).select("node", "v"), threshold, block_rows))
+        found.append(links(nodes.filter(F.size("v") == r["d"]).select("node", "v", F.col("n_equal").alias("w")), threshold, block_rows))
     if not found:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    pairs = found[0]
+    every = found[0]
     for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = cut(pairs)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weights = nodes.select(F.col("node").alias("b"), F.col("n_equal").alias("w"))
-    degree = both.join(weights, "b").groupBy("a").agg(F.sum("w").alias("far"))
-    parts = components(pairs)
+        every = every.unionByName(more)
+    every = cut(every)
+    degree = every.filter("a = b").groupBy("a").agg(F.sum("n").alias("far"))
+    parts = components(every.filter("a <> b").select("a", "b"))
     small = nodes.select("node", "least", "n_equal").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = small.groupBy("component").agg(F.min("least").alias("component_id"))
     state = small.join(least, "component").join(degree, small["node"] == degree["a"], "left").select("node", (F.col("n_equal") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), "component_id")

@@ -321,6 +321,24 @@ def test_embeddings(spark, rows):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_extreme_lengths(spark):
+    """Lengths whose squares leave the range of doubles; a dense group; and rows of one task that are joined over many pairs."""
+    r = np.random.default_rng(4)
+    data = [(0, [1e-200, 1e-200]), (1, [1e200, 1e200]), (2, [1.0, 1.0]), (3, [1e-310, 1e-310]), (4, [1e308, -1e308])]
+    got = {g["vec_id"]: (g["n_links"], g["component_id"]) for g in embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4)}
+    dense = 1 + 0.01 * r.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(dense.astype(np.float32))], "vec_id long, embedding array<float>")
+    for rows in (8192, 50):
+        assert {(g["n_links"], g["component_id"]) for g in embeddings.near_duplicates(df, block_rows=rows).collect()} == {(299, 0)}
+        nodes = df.select(F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("w"), F.col("embedding").alias("v"))
+        blocks = embeddings.blocks_for(300, spark.sparkContext.defaultParallelism, rows)
+        assert embeddings.links(nodes, block_rows=rows).count() < 2 * 300 * (blocks + 1)
+    root = np.arange(50)
+    embeddings.join(root, np.arange(49), np.arange(1, 50))
+    assert (root == 0).all()
+
+
 def test_quantisation_bounds():
     r = np.random.default_rng(5)
     x = r.normal(size=(300, 24)) * r.choice([1, 1e-3, 50], size=(300, 24))
