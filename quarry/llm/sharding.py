@@ -9,7 +9,9 @@ more than the share of the shards that came or went.
 
 Only the number of keys per cell (a constant number of integers, whatever the
 input) reaches the driver, which turns them into rank intervals per cell; the
-rows themselves are ranked inside their cell and joined to the intervals.
+rows themselves are ranked inside their cell, by parts of it, and joined to the
+intervals. Equal texts are no group here: the law is on row counts, so where a
+row goes is up to its key.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 CELL_BITS = 14
 CELLS = 1 << CELL_BITS
+SPLITS = 1024
 
 
 def ring(n_shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -100,20 +103,40 @@ def shard(docs: DataFrame, n_shards: int = 24, vnodes: int = 128, key: str = "do
         F.col(key).alias("doc_id"),
         (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        F.xxhash64(F.col(key)).alias("_h"),
-    ).withColumn("_cell", F.shiftrightunsigned("_h", 64 - CELL_BITS).cast("int"))
-    cells = docs.select(F.shiftrightunsigned(F.xxhash64(F.col(key)), 64 - CELL_BITS).cast("int").alias("c"))
-    counts = {r["c"]: r["n"] for r in cells.groupBy("c").agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
+        F.shiftrightunsigned(F.xxhash64(F.col(key)), 64 - CELL_BITS).cast("int").alias("_cell"),
+    )
+    keys = cut(keys)  # read three times below, always as it is here
+    keys = keys.withColumn("_row", F.xxhash64("doc_id", "text_crc32", "size", F.lit(1))).withColumn("_part", F.spark_partition_id())
+    counts = {r["_cell"]: r["n"] for r in keys.groupBy("_cell").agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
     names = ["_cell", "_lo", "_hi", "shard", "_base"]
     intervals = spark.createDataFrame(
         pd.DataFrame(flow(counts, n_shards, vnodes), columns=names).astype("int64"), "_cell long, _lo long, _hi long, shard long, _base long"
     ).select(F.col("_cell").cast("int").alias("_c"), "_lo", "_hi", F.col("shard").cast("int").alias("shard"), "_base")
-    ranked = keys.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy("_h", "doc_id", "text_crc32", "size")).cast("long") - 1)
+    ranked = _ranked(keys)
     found = (F.col("_cell") == F.col("_c")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
     return ranked.join(F.broadcast(intervals), found).select(  # CELLS plus a few rows
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_base") + F.col("_rank") - F.col("_lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 
+def _ranked(keys: DataFrame) -> DataFrame:
+    """Adds ``_rank``, from 0 in each cell, in the order of the rows' hashes.
+
+    A cell may hold a third of all rows, if these have one key. So its rows
+    are told apart by a hash of all they have, in SPLITS parts whose sizes are
+    added up; only rows that are equal in all share a hash, and these are
+    counted by the partition that they lie in and numbered there.
+    """
+    split = F.pmod("_row", F.lit(SPLITS))
+    each = keys.groupBy("_cell", split.alias("_split"), "_row", "_part").agg(F.count("*").alias("_n"))
+    ahead = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    within = each.withColumn("_within", ahead(Window.partitionBy("_cell", "_split").orderBy("_row", "_part"))).drop("_n")
+    parts = each.groupBy("_cell", "_split").agg(F.sum("_n").alias("_n"))
+    parts = parts.select("_cell", "_split", ahead(Window.partitionBy("_cell").orderBy("_split")).alias("_start"))  # SPLITS rows a cell
+    first = within.join(parts, ["_cell", "_split"]).select("_cell", "_row", "_part", (F.col("_within") + F.col("_start")).alias("_first"))
+    number = F.row_number().over(Window.partitionBy("_row", "_part", "_cell").orderBy("_row")).cast("long") - 1
+    return keys.withColumn("_number", number).join(first, ["_row", "_part", "_cell"]).withColumn("_rank", F.col("_first") + F.col("_number"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))

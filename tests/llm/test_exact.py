@@ -429,6 +429,19 @@ def test_sharding(spark, docs):
     assert sharding.shard(df.limit(0)).count() == 0
 
 
+def test_one_key_for_a_third_of_the_rows(spark, docs, monkeypatch):
+    """Rows of one key and of no key, some equal in all, over several partitions: each cell is ranked without gaps."""
+    monkeypatch.setattr(sharding, "SPLITS", 3)
+    df = docs([f"t{k % 7}" for k in range(300)], [5] * 300).unionByName(docs(["x"] * 100, [None] * 100)).unionByName(docs([f"u{k}" for k in range(200)])).repartition(5)
+    got = sharding.shard(df.withColumn("_row", F.lit(1)).withColumn("shard", F.lit("s")), 7, 16).collect()
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in got) == Counter((r["doc_id"], __import__("zlib").crc32(r["text"].encode())) for r in df.collect())
+    count = Counter(r["shard"] for r in got)
+    assert max(count.values()) - min(count[s] for s in range(7)) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(count[s])) for s in range(7))
+    again = sharding.shard(df.repartition(2), 7, 16).collect()
+    assert Counter(tuple(r)[:5] for r in got) == Counter(tuple(r)[:5] for r in again)
+
+
 def test_ring_flow():
     r = random.Random(0)
     counts = {c: r.randrange(1, 40) for c in r.sample(range(sharding.CELLS), 3000)} | {5: 20000}
