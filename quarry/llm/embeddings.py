@@ -162,7 +162,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block_rows: int
     degree = every.filter("a = b").groupBy("a").agg(F.sum("n").alias("far"))
     parts = components(every.filter("a <> b").select("a", "b"))
     small = nodes.select("node", "least", "n_equal").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = small.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = cut(small.groupBy("component").agg(F.min("least").alias("component_id")))
     state = small.join(least, "component").join(degree, small["node"] == degree["a"], "left").select("node", (F.col("n_equal") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), "component_id")
     linked = of.join(state, "node").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
     alone = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = nodes.select("node", "least").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = placed.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
     placed = placed.select("node", "least", F.coalesce("whole", "component").alias("component"))
-    of = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = cut(placed.groupBy("component").agg(F.min("least").alias("component_id")))
     return keyed.select("id", "node").join(placed.join(of, "component").select("node", "component_id"), "node").select("id", "component_id")
 
 

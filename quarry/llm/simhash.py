@@ -9,7 +9,8 @@ bit at most, hence three of these four are equal too.
 
 The index follows from that: each fingerprint is filed under every ring start
 and every one of the four segments that may differ, by the other six segments
-of the chain (24 bits). Fingerprints that meet under a key are candidates; the
+of the chain (24 bits). Very many fingerprints are filed by longer chains (see
+``chains``), lest unrelated ones meet. Fingerprints that meet under a key are candidates; the
 whole chain condition prunes them before the full Hamming check.
 
 Equal fingerprints are one node with a count, so copies never multiply. In a
@@ -30,11 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, slices, table
 from .components import components
 
 SEGMENTS, WIDTH = 16, 4
 GROUP_LIMIT = 4096
+LEVEL_1 = 1 << 27  # distinct fingerprints, eight to a key of 24 bits
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 
 
@@ -66,24 +68,42 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(id, fp) for every row of ``docs`` (id, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.fromiter((fingerprint(t, shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     return docs.select("id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, fp long")
 
 
-def ring_keys(fps: np.ndarray) -> np.ndarray:
-    """Index keys, one row of 64 per fingerprint: 24 bits of the chain, the ring start and the segment left out."""
+def chains(level: int) -> list[tuple[int, ...]]:
+    """Which places of a chain make up a key, one tuple for each way in which its segments may differ.
+
+    Level 1: the first three are equal and one of the next four may differ
+    (24 bits). Level 2: of the next eight two may differ, not both of the
+    first four (36 bits).
+    """
+    if level == 1:
+        return [(0, 1, 2, *(p for p in range(3, 7) if p != k)) for k in range(3, 7)]
+    apart = [(a, b) for a, b in combinations(range(3, 11), 2) if b > 6]
+    return [(0, 1, 2, *(p for p in range(3, 11) if p not in pair)) for pair in apart]
+
+
+def level_for(n: int) -> int:
+    """Keys so long that ``n`` unrelated fingerprints seldom meet under one; either level finds all links."""
+    return 1 if n <= LEVEL_1 else 2
+
+
+def ring_keys(fps: np.ndarray, level: int = 1) -> np.ndarray:
+    """Index keys, one row for each fingerprint: the segments of a chain, the ring start and the way (the lowest 12 bits)."""
     seg = (fps[:, None] >> (np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(WIDTH))) & np.uint64(15)
-    out = np.empty((len(fps), SEGMENTS * 4), np.int64)
+    ways = chains(level)
+    out = np.empty((len(fps), SEGMENTS * len(ways)), np.int64)
     for start in range(SEGMENTS):
-        chain = [(start + k) % SEGMENTS for k in range(7)]
-        for k in range(3, 7):
+        for w, places in enumerate(ways):
             key = np.zeros(len(fps), np.uint64)
-            for s in chain[:k] + chain[k + 1 :]:
-                key = (key << np.uint64(WIDTH)) | seg[:, s]
-            out[:, start * 4 + k - 3] = ((key << np.uint64(6)) | np.uint64(start * 4 + k - 3)).view(np.int64)
+            for p in places:
+                key = (key << np.uint64(WIDTH)) | seg[:, (start + p) % SEGMENTS]
+            out[:, start * len(ways) + w] = ((key << np.uint64(12)) | np.uint64(start << 8 | w)).view(np.int64)
     return out
 
 
@@ -104,22 +124,16 @@ def linked(x: np.ndarray, start: int, budget: int = 4) -> np.ndarray:
 
 
 def forest(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
-    """Links that connect what the group's links connect: of each component, every member to its root."""
-    parent = np.arange(len(fps))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    """Links that connect what the group's links connect. A member is compared with those only that it isn't joined to yet."""
+    root = np.arange(len(fps))
     out = []
     for i in range(len(fps) - 1):
-        for j in linked(fps[i + 1 :] ^ fps[i], start):
-            a, b = root(i), root(int(i + 1 + j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((i, int(i + 1 + j)))
+        apart = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        found = apart[linked(fps[apart] ^ fps[i], start)]
+        if len(found):
+            roots, first = np.unique(root[found], return_index=True)
+            out += [(i, int(j)) for j in found[first]]
+            root[np.isin(root, roots)] = root[i]
     return out
 
 
@@ -130,22 +144,24 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
-def links(distinct: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def links(distinct: DataFrame, group_limit: int = GROUP_LIMIT, level: int | None = None) -> DataFrame:
     """(a, b) fingerprints whose closure is that of all pairs at distance 4 or less."""
+    level = level or level_for(distinct.count())
+    ways = SEGMENTS * len(chains(level))
 
     def file(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fps), 4096):
-                part = fps[at : at + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(ring_keys(part).ravel()), _signed(np.repeat(part, 64))], names=["k", "fp"])
+            for at in range(0, len(fps), 1024):
+                part = fps[at : at + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array(ring_keys(part, level).ravel()), _signed(np.repeat(part, ways))], names=["k", "fp"])
 
     def compare(batches):
         key, held, full = None, [], False
 
         def ended():
             fps = np.array(held, np.int64).view(np.uint64)
-            start = (key & 63) // 4
+            start = (key >> 8) & 15
             return [(int(fps[i]), int(fps[j])) for i, j in forest(fps, start)]
 
         for batch in batches:
@@ -201,7 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, group_limit: int = GROUP_
     distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n_equal")))
     found = components(links(distinct.select("fp"), group_limit))
     nodes = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", "n_equal", F.coalesce("component", "fp").alias("component"))
-    of = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = cut(nodes.groupBy("component").agg(F.min("least").alias("component_id")))  # a table of its own, so that a large component is split in the join
     return fps.join(nodes.join(of, "component").select("fp", "n_equal", "component_id"), "fp").select("id", "fp", "component_id", "n_equal")
 
 

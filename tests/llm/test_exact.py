@@ -224,8 +224,8 @@ def test_simhash(spark, docs, limit):
     assert {i: (got[i]["fp"] % (1 << 64), got[i]["component_id"]) for i in got} == {i: (fps[i], roots[i]) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("limit", [4096, 1])
-def test_pigeonring_loses_no_link(spark, limit):
+@pytest.mark.parametrize(("limit", "level"), [(4096, 1), (1, 1), (4096, 2)])
+def test_pigeonring_loses_no_link(spark, limit, level):
     """Chains of fingerprints 4 bits apart, and 5 bits apart, which must not link."""
     r = random.Random(0)
     fps = []
@@ -238,7 +238,7 @@ def test_pigeonring_loses_no_link(spark, limit):
     fps = sorted(set(fps))
     as_long = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(as_long(f),) for f in fps], "fp long")
-    found = {r["node"]: r["component"] for r in components(simhash.links(df, limit)).collect()}
+    found = {r["node"]: r["component"] for r in components(simhash.links(df, limit, level)).collect()}
     roots = groups(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
     ours = [found.get(as_long(f), as_long(f)) for f in fps]
     assert len(set(zip(ours, roots))) == len(set(ours)) == len(set(roots))
