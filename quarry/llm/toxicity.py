@@ -13,7 +13,11 @@ A linear scan finds all maximal scoring segments of a text. A segment of score
 S in a text of n words has about ``K n exp(-lambda S)`` chance equals, where
 lambda solves ``E[exp(lambda s)] = 1`` over the words of clean training
 documents. The significant segments' logarithms add up to the document's
-evidence, and a logistic curve fitted on the training rows makes it a score.
+evidence; without any, its evidence is how far its best segment falls short. A
+logistic curve with a slope for either, fitted on the training rows, makes it a
+score. (Fitting the curve on a fold held back from the choice of tokens was
+tried: with 305 training rows one token is left, and 0 of 14 held-out toxic
+documents are caught instead of 9; with 2,990 the results are the same.)
 
 The classifier is fitted on at most about ``max_rows`` labelled rows, chosen by
 a hash of doc_id, and holds ``max_features`` tokens at most, so what goes to
@@ -51,6 +55,7 @@ class Model:
     drift: float = -0.1
     rate: float = 1.0
     slope: float = 0.0
+    below: float = 0.0  # the slope of evidence below 0
     level: float = 0.0
 
 
@@ -102,14 +107,22 @@ class Scorer(dict):
         return [(lo, hi, right - left) for lo, hi, left, right in stack]
 
     def evidence(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """Sum over the significant segments of minus their log E-value, and those segments."""
+        """The evidence, and the significant segments.
+
+        Above 0: the logarithm of 1 and the sum of their minus log E-values.
+        From 0 down to -1: without any, a tenth of the best segment's, which is
+        -10 at least and without any segment.
+        """
         ws = words(text)
-        found = [(lo, hi, self.model.rate * s - math.log(max(1.0, K * len(ws)))) for lo, hi, s in self.segments(ws)] if ws else []
-        found = [x for x in found if x[2] > 0]
+        every = [(lo, hi, self.model.rate * s - math.log(max(1.0, K * len(ws)))) for lo, hi, s in self.segments(ws)] if ws else []
+        found = [x for x in every if x[2] > 0]
+        if not found:
+            return max([-10.0, *(x[2] for x in every)]) / 10, found
         return math.log1p(sum(x[2] for x in found)), found
 
     def score(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.model.slope * evidence + self.model.level))))
+        at = (self.model.slope if evidence > 0 else self.model.below) * evidence + self.model.level
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, at))))
 
 
 def held_out(doc_id):
@@ -134,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # max_rows rows
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches, 4096):
             n, m, said = (Counter(), Counter()), (Counter(), Counter()), (Counter(), Counter())
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ws = words(text)
@@ -198,7 +211,7 @@ def _rate(rows: DataFrame, model: Model) -> float:
 
 
 def _calibrated(rows: DataFrame, model: Model) -> Model:
-    """Slope and level of the logistic curve over the evidence of the training rows, in hundredths."""
+    """Slopes and level of the logistic curve over the evidence of the training rows, in hundredths."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches):
@@ -209,14 +222,14 @@ def _calibrated(rows: DataFrame, model: Model) -> Model:
 
     got = rows.mapInArrow(weigh, "toxic int, e long").groupBy("toxic", "e").agg(F.count("*").alias("n")).collect()  # evidence is a logarithm: some hundred values
     y, x, n = np.array([r["toxic"] for r in got], float), np.array([r["e"] / 100 for r in got]), np.array([r["n"] for r in got], float)
-    w = np.zeros(2)
-    design = np.column_stack([x, np.ones_like(x)])
+    w = np.zeros(3)
+    design = np.column_stack([np.maximum(x, 0), np.minimum(x, 0), np.ones_like(x)])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -40, 40)))
-        ridge = np.diag([0.05, 0.01])
+        ridge = np.diag([0.05, 0.05, 0.01])
         gradient = design.T @ (n * (y - p)) - ridge @ w
         w = w + np.clip(np.linalg.solve(design.T @ (design * (n * p * (1 - p))[:, None]) + ridge, gradient), -2, 2)
-    model.slope, model.level = max(0.0, float(w[0])), float(w[1])
+    model.slope, model.below, model.level = max(0.0, float(w[0])), max(0.0, float(w[1])), float(w[2])
     return model
 
 

@@ -59,6 +59,16 @@ def test_held_out_accuracy(spark, labelled):
     assert any(r["n_passages"] and r["passages"][0]["end"] > r["passages"][0]["start"] for r in got.values())
 
 
+def test_documents_without_a_significant_segment_are_ranked():
+    """The nearer the best segment comes to significance, the higher the score; it never passes a significant one."""
+    model = T.Model(weights={"bad$": 1.0, "worse$": 4.0}, drift=-0.5, rate=1.0, slope=2.0, below=1.5, level=-1.0)
+    scorer = T.Scorer(model)
+    plain = " plain" * 200
+    got = [scorer.score(scorer.evidence(t)[0]) for t in (plain, "bad" + plain, "bad bad" + plain, "worse worse" + plain)]
+    assert got == sorted(set(got)) and scorer.evidence(plain)[0] == -1.0 and scorer.evidence(None)[0] == -1.0
+    assert [bool(scorer.evidence(t)[1]) for t in (plain, "bad bad" + plain, "worse worse" + plain)] == [False, False, True]
+
+
 def test_labels_of_held_out_rows_are_not_learned(spark, labelled):
     docs, labels, _ = labelled
     chosen = T.training_rows(labels).collect()
