@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 PIECE_CHARS = 1 << 16
 CALL_CHARS = 1 << 18
@@ -149,17 +149,30 @@ def encode_texts(texts: list[str | None], model: str, ranks: str) -> Iterator[np
     yield from flush()
 
 
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
 def decode_ids(ids: list[int], spelled: list[bytes]) -> bytes:
     return b"".join(map(spelled.__getitem__, ids))
 
 
-def offsets(text: str, ids: list[int], spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """First and past-the-end character of each token; a token that holds part of a character covers all of it."""
-    ends = np.cumsum([len(spelled[i]) for i in ids], dtype=np.int64)
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    char_of = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte
-    return (char_of[starts], char_of[ends - 1] + 1) if len(ends) else (starts, ends)
+def offsets(raw: bytes, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """First and past-the-end character of each token, and how many tokens begin or end inside a character.
+
+    ``raw`` is the text in UTF-8, ``lengths`` the bytes of every rank. A token
+    that holds part of a character covers all of it.
+    """
+    ends = np.cumsum(lengths[ids])
+    starts = ends - lengths[ids]
+    begins = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+    char_of = np.cumsum(begins, dtype=np.int32) - 1  # of each byte
+    whole = begins[starts] & np.r_[begins, True][ends]
+    return char_of[starts], char_of[ends - 1] + 1, int(len(ids) - whole.sum())
+
+
+def _lengths(spelled: list[bytes]) -> np.ndarray:
+    return np.array([len(x) for x in spelled], np.int64)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, ranks: str | None = None) -> DataFrame:
@@ -167,11 +180,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     model, ranks = model or default_paths()[0], ranks or default_paths()[1]
 
     def run(batches):
-        _, _, spelled = load(model, ranks)
-        for batch in batches:
+        lengths = _lengths(load(model, ranks)[2])
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
-            got = [x.astype(np.int32).tolist() for x in encode_texts(texts, model, ranks)]
-            spans = [offsets(t or "", i, spelled) for t, i in zip(texts, got)]
+            got = [x.astype(np.int32) for x in encode_texts(texts, model, ranks)]
+            spans = [offsets(_bytes(t), i, lengths) for t, i in zip(texts, got)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(got, pa.list_(pa.int32())), *(pa.array([s[k].astype(np.int32) for s in spans], pa.list_(pa.int32())) for k in (0, 1))], names=["id", "ids", "starts", "ends"]
             )
@@ -186,7 +199,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ran
 
     def run(batches):
         _, _, spelled = load(model, ranks)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if ids is None else decode_ids(ids, spelled).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
@@ -195,25 +208,31 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ran
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, ranks: str | None = None) -> DataFrame:
-    """Encode every text, decode its ids, and digest both: id, n_tokens, ids_sha256, decoded_sha256.
+    """Encode every text, decode its ids, and digest both: id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256, n_split.
 
-    A null text counts as empty; the ids of any id column are passed through,
+    ``offsets_sha256`` is that of the tokens' first and past-the-end characters
+    (little-endian unsigned 32-bit integers, all starts, then all ends),
+    ``n_split`` counts the tokens that begin or end inside a character. A null text counts as empty; the ids of any id column are passed through,
     nulls too; an empty table gives an empty result.
     """
     model, ranks = model or default_paths()[0], ranks or default_paths()[1]
 
     def run(batches):
         _, _, spelled = load(model, ranks)
-        for batch in batches:
-            n, a, b = [], [], []
-            for ids in encode_texts(batch.column(1).to_pylist(), model, ranks):
-                n.append(len(ids))
-                a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                b.append(hashlib.sha256(decode_ids(ids.tolist(), spelled)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        lengths = _lengths(spelled)
+        for batch in slices(batches):
+            out = []
+            texts = batch.column(1).to_pylist()
+            for text, ids in zip(texts, encode_texts(texts, model, ranks)):
+                starts, ends, split = offsets(_bytes(text), ids, lengths)
+                places = np.concatenate([starts, ends]).astype("<u4").tobytes()
+                decoded = decode_ids(ids.tolist(), spelled)
+                out.append((len(ids), *(hashlib.sha256(x).hexdigest() for x in (ids.astype("<u4").tobytes(), decoded, places)), split))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "n_split"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string, n_split long").withColumnRenamed("id", id_col)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

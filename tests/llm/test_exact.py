@@ -362,6 +362,19 @@ def test_bpe_equals_the_rank_library(spark, docs):
     for i, t in enumerate(texts):
         ids = plain.encode_ordinary(t or "")
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha((t or "").encode()))
+        at, starts, ends, split = 0, [], [], 0
+        raw = (t or "").encode()
+        for k in ids:
+            to = at + len(plain.decode_single_token_bytes(k))
+            inside = [p for p in (at, to) if p < len(raw) and raw[p] & 0xC0 == 0x80]
+            first = next(p for p in range(at, -1, -1) if raw[p] & 0xC0 != 0x80)
+            last = next(p for p in range(to, len(raw) + 1) if p == len(raw) or raw[p] & 0xC0 != 0x80)
+            starts.append(len(raw[:first].decode()) if i > 4 else 0)
+            ends.append(len(raw[:last].decode()) if i > 4 else 0)
+            split += bool(inside)
+            at = to
+        assert got[i]["n_split"] == split
+        assert i <= 4 or got[i]["offsets_sha256"] == sha(np.array(starts + ends, "<u4").tobytes())
     encoded = bpe.encode(docs(texts))
     back = {x["doc_id"]: x["text"] for x in bpe.decode(encoded).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
