@@ -18,10 +18,12 @@ their bucket, and compared with their neighbours, across bucket boundaries too.
     one by one, which is less than what shuffles make of them.
 
 A suffix is represented by its leading tokens and fingerprints of its longer
-prefixes (112 bits and more), so a row has a fixed size. Splitters hold a salt
+prefixes (96 bits and more), so a row has a fixed size. Splitters hold a salt
 as their last key: a suffix that is a third of all rows is spread over as many
 buckets as it fills. No step gathers a suffix's occurrences; every row needs
-its two neighbours only. Of each bucket, two rows go to the driver.
+its two neighbours only. Of each bucket, two rows go to the driver. There are
+as many buckets as BUCKET_ROWS asks for, MAX_BUCKETS at most: a tenfold bucket
+(10**12 suffixes, some 30 TB of text) is still one array of 36 MB.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -45,8 +48,9 @@ PLACE_BITS = 30
 CHUNK_BYTES = 1 << 20
 PIECE_BYTES = 1 << 21  # texts longer than this are taken a piece at a time
 BUCKET_ROWS = 100_000
-MAX_BUCKETS = 50_000
+MAX_BUCKETS = 1_000_000
 SAMPLE_PER_BUCKET = 50
+SAMPLE_ROWS = 4_000_000  # at most; they go to the driver
 SAMPLE_TEXTS = 2500  # at least, and two thousandths of all
 
 
@@ -94,20 +98,29 @@ class Rolling:
 
 
 def tokenise(texts: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of all texts in one array, where each text's tokens begin (and the last ones end), and 16 leading bits at each token.
+    """Token hashes of all texts in one array, where each text's tokens begin (and the last ones end), and 32 leading bits at each token.
 
-    These bits are the first two bytes, or bits of the first word's hash.
+    These bits are the first four bytes, or 16 bits of the first two words' hashes each.
     """
     if not words:
         raw = np.frombuffer(b"".join(texts), np.uint8)
-        return BYTE_HASH[raw], np.cumsum([0, *map(len, texts)]), (raw.astype(np.uint16) << 8) | np.r_[raw[1:], np.zeros(min(1, len(raw)), np.uint8)]
+        return BYTE_HASH[raw], np.cumsum([0, *map(len, texts)]), _leading(raw, 8, 4)
     raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     text_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
     inside = np.r_[False, (raw != 32) & ((raw < 9) | (raw > 13)), False]
     flips = np.flatnonzero(inside[1:] != inside[:-1])
     lo, hi = flips[::2], flips[1::2]
     tokens = mix(Rolling(BYTE_HASH[raw])(lo, hi) + (hi - lo).astype(U64))
-    return tokens, np.searchsorted(lo, text_at), (tokens >> U64(48)).astype(np.uint16)
+    return tokens, np.searchsorted(lo, text_at), _leading((tokens >> U64(48)).astype(np.uint32), 16, 2)
+
+
+def _leading(tokens: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """The next ``count`` tokens at each place, ``bits`` of each, the first one highest; zeros behind the last."""
+    padded = np.concatenate([tokens.astype(np.uint32), np.zeros(count, np.uint32)])
+    out = np.zeros(len(tokens), np.uint32)
+    for k in range(count):
+        out = (out << np.uint32(bits)) | padded[k : k + len(tokens)]
+    return out
 
 
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
@@ -127,14 +140,14 @@ def _parts(raw: bytes, words: bool) -> Iterator[bytes]:
 
 def long_tokens(raw: bytes, scheme: Scheme, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens lo .. hi of a long text of bytes, with their leading bits."""
-    tokens, _, leading = tokenise([raw[lo : hi + 1]], False)
+    tokens, _, leading = tokenise([raw[lo : hi + 3]], False)
     return tokens[: hi - lo], leading[: hi - lo]
 
 
 def long_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """All word tokens of a long text, with their leading bits: ten bytes a word."""
-    got = [tokenise([part], True) for part in _parts(raw, True)]
-    return np.concatenate([g[0] for g in got]), np.concatenate([g[2] for g in got])
+    """All word tokens of a long text, with their leading bits: twelve bytes a word."""
+    tokens = np.concatenate([tokenise([part], True)[0] for part in _parts(raw, True)])
+    return tokens, _leading((tokens >> U64(48)).astype(np.uint32), 16, 2)
 
 
 def long_blocks(raw: bytes, scheme: Scheme) -> Iterator[dict[str, np.ndarray]]:
@@ -190,8 +203,8 @@ def blocks(tokens: np.ndarray, starts: np.ndarray, leading: np.ndarray, scheme:
 
 
 def _behind(leading: np.ndarray, print_: np.ndarray) -> np.ndarray:
-    """48 bits of a fingerprint behind 16 bits of the leading tokens, so that suffixes sort by these first."""
-    return (leading.astype(U64) << U64(48)) | (print_ >> U64(16))
+    """32 bits of a fingerprint behind 32 bits of the leading tokens, so that suffixes sort by these first."""
+    return (leading.astype(U64) << U64(32)) | (print_ >> U64(32))
 
 
 def parcels(docs: DataFrame) -> DataFrame:
@@ -345,22 +358,19 @@ def neighbours(rows, sample: DataFrame, share: float, exact: bool) -> DataFrame:
     spark = sample.sparkSession
     n = sample.count()
     buckets = int(min(MAX_BUCKETS, max(24, n / share / BUCKET_ROWS)))
-    thin = min(1.0, buckets * SAMPLE_PER_BUCKET / max(1, n))
+    thin = min(1.0, buckets * SAMPLE_PER_BUCKET / max(1, n), SAMPLE_ROWS / max(1, n))
     got = sample.select("core", "whole", "uid", "packed").filter(F.pmod(F.xxhash64("uid", "packed"), F.lit(1 << 20)) < int(thin * (1 << 20))).toPandas()  # SAMPLE_PER_BUCKET rows a bucket
     core, whole, uid, packed = (got[c].to_numpy(np.int64) for c in got.columns)
     keys = np.sort(_sortable(core.view(U64), whole.view(U64), mix(uid.view(U64) ^ packed.view(U64))))
     cuts = keys[np.linspace(0, len(keys), buckets + 1)[1:-1].astype(int)] if len(keys) >= buckets else keys
     found = cut(rows(spark.sparkContext.broadcast(cuts)).groupBy("bucket").applyInArrow(_compared, FOUND))
-    ends: dict[int, dict] = {}
-    for r in found.filter(F.col("kind") >= FIRST).collect():  # two rows a bucket
-        ends.setdefault(r["bucket"], {})[r["kind"]] = r
-    order, fixed = sorted(ends), []
-    for a, b in zip(order, order[1:]):
-        x, y = ends[a][LAST], ends[b][FIRST]
-        if x["core"] == y["core"]:
-            kind = MATCHED if x["whole"] == y["whole"] else EDGE
-            fixed += [(kind, x["uid"], x["packed"]), (kind, y["uid"], y["packed"])]
-    found = found.filter(F.col("kind") < FIRST).select("kind", "uid", "packed").unionByName(spark.createDataFrame(fixed, "kind int, uid long, packed long"))
+    ends = found.filter(F.col("kind") >= FIRST).toPandas().sort_values(["bucket", "kind"])  # two rows a bucket
+    x, y = ends[ends["kind"] == LAST].iloc[:-1].reset_index(drop=True), ends[ends["kind"] == FIRST].iloc[1:].reset_index(drop=True)
+    across = x["core"] == y["core"]
+    kind = np.where(x["whole"] == y["whole"], MATCHED, EDGE)
+    fixed = pd.concat([z.assign(kind=kind)[across][["kind", "uid", "packed"]] for z in (x, y)]).astype("int64")
+    fixed = spark.createDataFrame(fixed, "kind long, uid long, packed long").select(F.col("kind").cast("int").alias("kind"), "uid", "packed")
+    found = found.filter(F.col("kind") < FIRST).select("kind", "uid", "packed").unionByName(fixed)
     return found.filter(F.col("kind") == MATCHED) if exact else found
 
 

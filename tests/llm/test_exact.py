@@ -101,17 +101,55 @@ def test_long_texts_in_pieces(docs, words):
             assert (np.concatenate([p[k] for p in parts]) == v).all()
 
 
-def test_very_long_text(spark, docs):
-    """Two texts of some megabytes that share their middle."""
+def covered_long(seqs, window):
+    """``covered`` for arrays of whole numbers, by two sums over each window that weigh places by powers of odd numbers."""
+    sums = []
+    for base in (6364136223846793005, 3202034522624059733):
+        inverse = pow(base, -1, 1 << 64)
+        each = []
+        for x in seqs:
+            up, down = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x), b, np.uint64)]) for b in (base, inverse))
+            total = np.r_[np.uint64(0), np.cumsum((x.astype(np.uint64) + np.uint64(77)) * up[: len(x)])]
+            each.append((total[window:] - total[:-window]) * down[: len(x) - window + 1] if len(x) >= window else np.empty(0, np.uint64))
+        sums.append(np.concatenate(each))
+    _, at, n = np.unique(np.column_stack(sums), axis=0, return_inverse=True, return_counts=True)
+    again, out, lo = n[at] > 1, [], 0
+    for x in seqs:
+        k = max(0, len(x) - window + 1)
+        marks = np.zeros(len(x) + 1, np.int64)
+        starts = np.flatnonzero(again[lo : lo + k])
+        np.add.at(marks, starts, 1)
+        np.add.at(marks, starts + window, -1)
+        out.append(np.cumsum(marks[:-1]) > 0)
+        lo += k
+    return out
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_registered_schemes_are_exact(spark, docs, long):
+    """400 bytes and 35 words, over many texts or over two of some megabytes that share their middle."""
     r = random.Random(4)
-    noise = lambda: "".join(r.choices("abcdefghij klmnop", k=1_200_000))
-    middle = noise()
-    texts = [noise() + middle + noise(), noise() + middle + "#" + noise(), None]
-    got = {x["id"]: x for x in suffix_dedup.deduplicate(docs(texts).withColumnRenamed("doc_id", "id")).collect()}
-    for i in (0, 1):
-        assert got[i]["n_spans"] == 1 and 0 <= got[i]["n_removed"] - len(middle) <= 12
-    found = {x["id"]: x for x in substring_dedup.deduplicate(docs(texts).withColumnRenamed("doc_id", "id")).collect()}
-    assert all(abs(found[i]["n_removed"] - len(middle.split())) <= 4 for i in (0, 1))
+    noise = lambda k: "".join(r.choices("abcdefghij klmnop", k=k))
+    if long:
+        middle = noise(1_200_000)
+        texts = [noise(1_200_000) + middle + noise(1_200_000), noise(1_000_000) + middle + "#" + noise(1_100_000) + middle[:5000], None]
+    else:
+        texts = corpus(11, 80) + [noise(3000) for _ in range(5)]
+        texts += [t[: r.randrange(len(t))] + noise(5) + t[r.randrange(len(t)) :] for t in texts if t and len(t) > 900]
+        passages = [noise(n) for n in (399, 400, 401, 463, 464, 465, 900)]
+        texts += [noise(r.randrange(900)) + p + noise(r.randrange(900)) for p in passages for _ in range(3)]
+    frame = docs(texts).withColumnRenamed("doc_id", "id")
+    raw = [np.frombuffer((t or "").encode(), np.uint8) for t in texts]
+    got = {x["id"]: x for x in suffix_dedup.deduplicate(frame).collect()}
+    for i, (b, gone) in enumerate(zip(raw, covered_long(raw, 400))):
+        assert (got[i]["n_removed"], got[i]["n_spans"]) == (gone.sum(), np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
+        assert got[i]["kept_sha256"] == sha(b[~gone].tobytes())
+    number: dict = {}
+    words = [(t or "").encode().split() for t in texts]
+    ids = [np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in words]
+    found = {x["id"]: x for x in substring_dedup.deduplicate(frame).collect()}
+    for i, (ws, gone) in enumerate(zip(words, covered_long(ids, 35))):
+        assert (found[i]["n_removed"], found[i]["kept_sha256"]) == (gone.sum(), sha(b" ".join(w for w, g in zip(ws, gone) if not g)))
 
 
 def test_repeated_ids_and_empty_tables(spark, docs):
