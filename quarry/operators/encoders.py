@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
+
 
 class Encoder(Protocol):
     """Anything that turns texts into vectors; it is sent to the executors once."""
@@ -52,6 +54,30 @@ class Projection:
         return out if mask is None else out * np.asarray(mask, float)[:, None]
 
 
+def project(vectors: DataFrame, projection: Projection, vector: str = "v", mask: str | None = None) -> DataFrame:
+    """``vectors`` with ``vector`` projected to fewer dimensions at unit length; rows that ``mask`` has at 0 become zero vectors."""
+    sent = vectors.sparkSession.sparkContext.broadcast(projection)
+    at, names = vectors.columns.index(vector), vectors.columns
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(at)
+            if batch.num_rows:
+                keep = None if mask is None else batch.column(names.index(mask)).to_numpy(zero_copy_only=False)
+                v = sent.value(np.asarray(column.flatten(), float).reshape(batch.num_rows, -1), keep)
+                column = pa.array(list(v), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([column if k == at else batch.column(k) for k in range(len(names))], names=names)
+
+    kinds = ", ".join(f"`{f.name}` {'array<double>' if f.name == vector else f.dataType.simpleString()}" for f in vectors.schema)
+    return vectors.filter(F.col(vector).isNotNull()).mapInArrow(run, kinds)
+
+
+def encode_tokens(df: DataFrame, encoder: Encoder, id_col: str = "id", text_col: str = "text", limit: int = 220) -> DataFrame:
+    """(id, pos, v): a vector for each of the first ``limit`` tokens of a text."""
+    each = df.select(id_col, F.posexplode(F.slice(tokens(F.col(text_col)), 1, limit)).alias("pos", "token"))
+    return encode(each.select(F.struct(id_col, "pos").alias("at"), "token"), encoder, "at", "token").select(f"at.{id_col}", "at.pos", "v")
+
+
 def encode(df: DataFrame, encoder: Encoder, id_col: str = "id", text_col: str = "text", batch: int = 256) -> DataFrame:
     """(id, v) of every row; a null text is encoded as an empty one."""
     sent = df.sparkSession.sparkContext.broadcast(encoder)

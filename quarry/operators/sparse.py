@@ -52,6 +52,11 @@ def mean_terms(vectors: DataFrame, id_col: str = "id") -> DataFrame:
     return vectors.groupBy(id_col).agg(F.count("*").alias("n")).agg(F.avg("n").alias("mean_terms"))
 
 
+def flops_weight(step: int, full: float, ramp: int = 50_000) -> float:
+    """The weight of the activation penalty at a training step: grows with the square of the step to ``full``."""
+    return full * min(1.0, max(0, step) / ramp) ** 2
+
+
 def flops(vectors: DataFrame, n_rows: int) -> DataFrame:
     """One row: the sum over tokens of their squared mean activation over ``n_rows`` rows."""
     return vectors.groupBy("token").agg((F.sum("weight") / n_rows).alias("mean")).agg(F.sum(F.col("mean") * F.col("mean")).alias("flops"))

@@ -460,7 +460,7 @@ SELECT dim, round(avg(abs(x)), 9) AS avg_residual, (SELECT round(quantile_cont(x
   (SELECT round(quantile_cont(x, 0.125), 9) FROM f) AS w0, (SELECT round(quantile_cont(x, 0.875), 9) FROM f) AS w3 FROM f GROUP BY dim""")
 def residual_stats(spark, d):
     r = ivf.residuals(_assigned(spark, d), _centroids(spark, d))
-    cutoffs, weights = ivf.cutoffs_and_weights(r.select(F.explode("residual").alias("x")), "x", 2)
+    cutoffs, weights = ivf.cutoffs_and_weights(r.select(F.explode("residual").alias("x")), "x", 2, exact=True)  # as SQL does
     constants = [F.round(F.lit(x), 9).alias(n) for n, x in zip(("c1", "c2", "c3", "w0", "w3"), (*cutoffs, weights[0], weights[3]))]
     return ivf.mean_abs_residual(r).select("dim", F.round("avg_residual", 9).alias("avg_residual"), *constants)
 

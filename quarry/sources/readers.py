@@ -171,6 +171,23 @@ def normalise_beir_queries(rows: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("_id", "id", F.lit("None")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def beir_parts(spark: SparkSession, folder: str) -> list[str]:
+    """Which of a BEIR folder's corpus, queries and qrels are missing."""
+    return [name for name in ("corpus.jsonl", "queries.jsonl", "qrels") if not exists(spark, f"{folder}/{name}")]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at ``path``, in any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_answered(spark: SparkSession, *paths: str) -> DataFrame:
+    """Exported questions with their answers: (id, text, answers); a missing answer is an empty array."""
+    rows = spark.read.schema(S.ANSWERED_QUERY).json(list(paths))
+    return rows.select("id", F.col("question").alias("text"), F.coalesce("answer", F.array().cast("array<string>")).alias("answers"))
+
+
 def read_beir(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Corpus, queries and qrels of a BEIR folder."""
     corpus = normalise_beir_corpus(spark.read.schema(S.BEIR_DOCUMENT).json(f"{folder}/corpus.jsonl"))
@@ -196,6 +213,16 @@ def line_count(lines: DataFrame) -> DataFrame:
     return lines.filter(F.trim("value") != "").agg(F.count("*").alias("n"))
 
 
+def token_stream(passages: DataFrame, parts: int | None = None) -> DataFrame:
+    """(pid, pos, v) from ``passages`` (pid, vs: an array of token vectors): ids repeat with their vectors, in order of pid.
+
+    A null or empty array gives no row. Each partition is a shard, and shards
+    follow one another by pid.
+    """
+    ordered = passages.repartitionByRange(*([parts] if parts else []), "pid").sortWithinPartitions("pid")
+    return ordered.select("pid", F.posexplode("vs").alias("pos", "v"))
+
+
 def read_vectors(spark: SparkSession, *paths: str) -> DataFrame:
     """(id, v) rows of vector shards; parquet folders need no offsets."""
     return spark.read.parquet(*paths)
