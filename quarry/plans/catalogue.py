@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import dense, encoders, ivf, judge, lexical, metrics, mining, multivector, sampling, sparse
+from ..operators import dense, encoders, indexes, ivf, judge, lexical, metrics, mining, multivector, sampling, sparse
 from ..sources import readers, sinks
-from ..storage import spread
+from ..storage import scratch, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -216,6 +216,69 @@ def best_checkpoint(spark, d):
     return readers.best_checkpoint(table(spark, d, "embeddings").select(name.alias("name")))
 
 
+# files: written, read again
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS id, translate(coalesce(text, ''), chr(9) || chr(10), '  ') AS text FROM benchmark")
+def parse_queries_tsv(spark, d):
+    text = F.translate(F.coalesce("text", F.lit("")), "\t\n", "  ")
+    return readers.parse_queries(table(spark, d, "benchmark").select(F.concat_ws("\t", F.col("item_id").cast("string"), text).alias("value")))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS query, CAST(doc_id % 7 AS VARCHAR) AS positive, lang AS negative FROM documents WHERE lang IS NOT NULL")
+def parse_training_tsv(spark, d):
+    fields = F.concat_ws("\t", F.col("doc_id").cast("string"), (F.col("doc_id") % 7).cast("string"), "lang")
+    lines = table(spark, d, "documents").filter("lang is not null").select(F.col("doc_id").alias("line_no"), fields.alias("value"))
+    return readers.parse_training(lines).drop("line_no")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(text, '') AS contents, coalesce(source, '') AS title FROM documents")
+def collection_file(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("contents"), F.coalesce("source", F.lit("")).alias("title"))
+    sinks.write_jsonl(rows, path := scratch(spark), "id")
+    return readers.read_collection(spark, path)
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS id, text FROM benchmark WHERE text IS NOT NULL")
+def exported_queries_file(spark, d):
+    rows = table(spark, d, "benchmark").filter("text is not null").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
+    sinks.write_jsonl(rows, path := scratch(spark), "id")
+    normal = readers.read_exported_queries(spark, path)
+    sinks.write_jsonl(normal, again := scratch(spark))
+    return readers.read_queries(spark, again)
+
+
+@query("SELECT CAST(quality AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(toxic AS INT) AS relevance FROM labels WHERE toxic > 0")
+def qrels_file(spark, d):
+    rows = table(spark, d, "labels").select(F.col("quality").alias("query_id"), "doc_id", F.col("toxic").cast("int").alias("relevance"))
+    sinks.write_jsonl(rows, path := scratch(spark), "query_id", "doc_id")
+    return readers.read_qrels(spark, path)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS qid, CAST(doc_id + 1 AS VARCHAR) AS pos_id, CAST(doc_id % 5 AS VARCHAR) || ',' || CAST(doc_id % 3 AS VARCHAR) AS neg_ids FROM documents")
+def triple_candidates_file(spark, d):
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select(i.alias("qid"), (i + 1).alias("pos_id"), F.array((i % 5).cast("string"), (i % 3).cast("string")).alias("neg_ids"))
+    sinks.write_jsonl(rows, path := scratch(spark), "qid", "pos_id")
+    return readers.read_triple_candidates(spark, path).withColumn("neg_ids", F.array_join("neg_ids", ","))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS qid, CAST(doc_id + 1 AS VARCHAR) AS pos_id, CAST(doc_id % 5 AS VARCHAR) AS neg_id FROM documents")
+def triples_file(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("qid"), (F.col("doc_id") + 1).alias("pos_id"), (F.col("doc_id") % 5).alias("neg_id"))
+    sinks.write_jsonl(rows, path := scratch(spark), "qid", "pos_id", "neg_id")
+    return readers.read_triples(spark, path)
+
+
+@query("SELECT lang AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INT) AS rank FROM documents WHERE lang IS NOT NULL")
+def dev_file(spark, d):
+    """The candidates of each language, one JSON object for all, as the format has it."""
+    ranked = table(spark, d, "documents").filter("lang is not null").select(F.col("lang").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("rank"))
+    whole = readers.grouped_in_order(ranked).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("query_id", "doc_ids")))).alias("value"))
+    whole.write.text(path := scratch(spark))
+    return readers.read_dev(spark, path)
+
+
 # ---------------------------------------------------------------- text
 
 
@@ -287,6 +350,13 @@ def dense_ip_topk(spark, d):
     return dense.search(_vector_queries(spark, d), _vectors(spark, d), K)
 
 
+@query(_vector_sql("list_dot_product(qv, v)", "DESC"))
+def flat_index_topk(spark, d):
+    """The same from an index that was written and loaded."""
+    indexes.write("flat", _vectors(spark, d), path := scratch(spark))
+    return indexes.search(indexes.load(spark, path), _vector_queries(spark, d), K)
+
+
 @query(_vector_sql("list_distance(qv, v)", "ASC"))
 def dense_l2_topk(spark, d):
     return dense.search(_vector_queries(spark, d), _vectors(spark, d), K, metric="l2")
@@ -398,6 +468,14 @@ def sparse_dot_topk(spark, d):
     return sparse.search(_sparse(spark, d, "benchmark", "item_id", "query_id"), postings, K)
 
 
+@query(ORACLE_SQL["sparse_dot_topk"])
+def sparse_index_topk(spark, d):
+    """The same from an index that was written and loaded."""
+    postings = sparse.prune(_sparse(spark, d, "documents", "doc_id", "doc_id"), PRUNED, "doc_id")
+    indexes.write("sparse", postings, path := scratch(spark))
+    return indexes.search(indexes.load(spark, path), _sparse(spark, d, "benchmark", "item_id", "query_id"), K)
+
+
 @query("SELECT vec_id, dim - 1 AS token, round(x, 9) AS weight FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings) WHERE x <> 0")
 def dense_to_sparse(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("v"))

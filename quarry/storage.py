@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -14,7 +15,17 @@ def cut(df: DataFrame) -> DataFrame:
     whose executors are threads of the driver gets a temporary one if that is
     unset; any other must name a folder that all its machines share.
     """
-    sc = df.sparkSession.sparkContext
+    _folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -22,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="quarry-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return sc.getCheckpointDir()
 
 
 def spread(df: DataFrame) -> DataFrame:
