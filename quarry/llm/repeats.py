@@ -328,12 +328,17 @@ def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
 
 EDGE, MATCHED, FIRST, LAST = 0, 1, 2, 3
 FOUND = "kind int, bucket int, core long, whole long, uid long, packed long"
+SOURCE = ", other long, at long"
 
 
-def _compared(bucket: pa.Table) -> pa.Table:
-    """Blocks of a bucket that are repeated inside it, and its first and last suffix."""
+def _compared(bucket: pa.Table, sources: bool = False) -> pa.Table:
+    """Blocks of a bucket that are repeated inside it, and its first and last suffix.
+
+    With ``sources``, each has another place (text and first window) of its
+    whole: the first one by text and window, for that one the second.
+    """
     core, whole, uid, packed = (bucket.column(c).to_numpy() for c in ("core", "whole", "uid", "packed"))
-    order = multikey_order([core.view(U64), whole.view(U64)])
+    order = multikey_order([core.view(U64), whole.view(U64), *((uid, packed) if sources else ())])
     core, whole, uid, packed = (x[order] for x in (core, whole, uid, packed))
     core_same = core[1:] == core[:-1]
     whole_same = core_same & (whole[1:] == whole[:-1])
@@ -346,11 +351,17 @@ def _compared(bucket: pa.Table) -> pa.Table:
     pick = np.r_[np.flatnonzero(known), stand_in, 0, len(core) - 1]
     kind = np.r_[kind[known], np.full(len(stand_in), EDGE), FIRST, LAST].astype(np.int32)
     number = np.full(len(pick), bucket.column("bucket")[0].as_py(), np.int32)
-    return pa.table({"kind": kind, "bucket": number, "core": core[pick], "whole": whole[pick], "uid": uid[pick], "packed": packed[pick]})
+    out = {"kind": kind, "bucket": number, "core": core[pick], "whole": whole[pick], "uid": uid[pick], "packed": packed[pick]}
+    if sources:
+        begins = np.flatnonzero(np.r_[True, ~whole_same])[whole_run]
+        second = begins + np.r_[whole_same, False][begins]
+        place = np.where(begins == np.arange(len(core)), second, begins)[pick]
+        out |= {"other": uid[place], "at": packed[place] >> 32}
+    return pa.table(out)
 
 
-def neighbours(rows, sample: DataFrame, share: float, exact: bool) -> DataFrame:
-    """(kind, uid, packed) of every suffix whose core, or with ``exact`` core and whole, is repeated.
+def neighbours(rows, sample: DataFrame, share: float, exact: bool, sources: bool = False) -> DataFrame:
+    """(kind, uid, packed) of every suffix whose core, or with ``exact`` core and whole, is repeated; with ``sources`` also another place (other, at) of its whole.
 
     ``rows(splitters)`` makes the suffixes; ``sample`` is a ``share`` of them
     (by text), from which the splitters are drawn.
@@ -363,25 +374,30 @@ def neighbours(rows, sample: DataFrame, share: float, exact: bool) -> DataFrame:
     core, whole, uid, packed = (got[c].to_numpy(np.int64) for c in got.columns)
     keys = np.sort(_sortable(core.view(U64), whole.view(U64), mix(uid.view(U64) ^ packed.view(U64))))
     cuts = keys[np.linspace(0, len(keys), buckets + 1)[1:-1].astype(int)] if len(keys) >= buckets else keys
-    found = cut(rows(spark.sparkContext.broadcast(cuts)).groupBy("bucket").applyInArrow(_compared, FOUND))
+    found = cut(rows(spark.sparkContext.broadcast(cuts)).groupBy("bucket").applyInArrow(lambda bucket: _compared(bucket, sources), FOUND + SOURCE * sources))
+    names = ["kind", "uid", "packed", *(["other", "at"] if sources else [])]
     ends = found.filter(F.col("kind") >= FIRST).toPandas().sort_values(["bucket", "kind"])  # two rows a bucket
     x, y = ends[ends["kind"] == LAST].iloc[:-1].reset_index(drop=True), ends[ends["kind"] == FIRST].iloc[1:].reset_index(drop=True)
     across = x["core"] == y["core"]
     kind = np.where(x["whole"] == y["whole"], MATCHED, EDGE)
-    fixed = pd.concat([z.assign(kind=kind)[across][["kind", "uid", "packed"]] for z in (x, y)]).astype("int64")
-    fixed = spark.createDataFrame(fixed, "kind long, uid long, packed long").select(F.col("kind").cast("int").alias("kind"), "uid", "packed")
-    found = found.filter(F.col("kind") < FIRST).select("kind", "uid", "packed").unionByName(fixed)
+    fixed = pd.concat([a.assign(kind=kind, other=b["uid"], at=b["packed"] // (1 << 32))[across][names] for a, b in ((x, y), (y, x))]).astype("int64")
+    fixed = spark.createDataFrame(fixed, ", ".join(f"{c} long" for c in names)).withColumn("kind", F.col("kind").cast("int"))
+    found = found.filter(F.col("kind") < FIRST).select(*names).unionByName(fixed)
     return found.filter(F.col("kind") == MATCHED) if exact else found
 
 
 def _listed(found: DataFrame, name: str) -> DataFrame:
     tag = F.col("packed").bitwiseAND(0xFFFF).cast("int")
-    return found.groupBy("uid", tag.alias("tag")).agg(F.collect_list("packed").alias(name))  # a text's own blocks
+    lists = [F.collect_list(c).alias(n) for c, n in (("packed", name), ("other", "others"), ("at", "ats")) if c in found.columns]
+    return found.groupBy("uid", tag.alias("tag")).agg(*lists)  # a text's own blocks
 
 
 def repeated(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """(id, z, found) of ``docs`` (id, text): each text as a parcel, and packed runs of its windows that also start elsewhere (null: none).
 
+    For words there are also ``others`` and ``ats``, of each run another place
+    where it stands: the text, as XXH64 of id and text, and the first window.
+
     Rows equal in id and text are told apart as little as they need to be:
     each has its windows repeated in the other. A null text has no tokens.
     """
@@ -392,12 +408,12 @@ def repeated(docs: DataFrame, scheme: Scheme) -> DataFrame:
     def sampled(d: DataFrame) -> DataFrame:
         return d.filter(F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
-    first = cut(neighbours(lambda s: block_rows(docs, scheme, s), block_rows(sampled(docs), scheme), share, False))
-    edges = _listed(first.filter(F.col("kind") == EDGE).distinct(), "edges")
+    first = cut(neighbours(lambda s: block_rows(docs, scheme, s), block_rows(sampled(docs), scheme), share, False, scheme.words))
+    edges = _listed(first.filter(F.col("kind") == EDGE).select("uid", "packed").distinct(), "edges")
     sample = window_rows(parcels(sampled(docs)).join(sampled(edges).hint("shuffle_hash"), ["uid", "tag"]), scheme)
-    second = neighbours(lambda s: window_rows(parcels(docs).join(edges.hint("shuffle_hash"), ["uid", "tag"]), scheme, s), sample, share, True)
+    second = neighbours(lambda s: window_rows(parcels(docs).join(edges.hint("shuffle_hash"), ["uid", "tag"]), scheme, s), sample, share, True, scheme.words)
     found = _listed(first.filter(F.col("kind") == MATCHED).unionByName(second), "found")
-    return parcels(docs).join(found.hint("shuffle_hash"), ["uid", "tag"], "left").select("id", "z", "found")
+    return parcels(docs).join(found.hint("shuffle_hash"), ["uid", "tag"], "left").select("id", "z", "found", *(["others", "ats"] if scheme.words else []))
 
 
 def covered(found: list[int] | None, n: int, window: int) -> np.ndarray:

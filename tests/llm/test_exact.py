@@ -75,6 +75,27 @@ def test_words(spark, docs, scheme):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), sum(gone), sha(kept))
 
 
+def test_factors_are_copies_of_their_sources(spark, docs):
+    """Every factor stands word for word at its source, elsewhere; together they are what is removed."""
+    texts = corpus(12, 90)
+    scheme = Scheme(True, 12, 3, 4)
+    words = [tuple((t or "").encode().split()) for t in texts]
+    frame = docs(texts).withColumnRenamed("doc_id", "id")
+    name = {r["uid"]: r["id"] for r in frame.select("id", F.xxhash64("id", "text").alias("uid")).collect()}
+    n_factors = longer = 0
+    for r in substring_dedup.deduplicate(frame, scheme).collect():
+        own, covered_ = words[r["id"]], set()
+        for f in r["factors"]:
+            source, n = words[name[f["source"]]], f["end"] - f["start"]
+            assert n >= 12 and own[f["start"] : f["end"]] == source[f["source_start"] : f["source_start"] + n]
+            assert (name[f["source"]], f["source_start"]) != (r["id"], f["start"])
+            covered_ |= set(range(f["start"], f["end"]))
+            longer += n > 12
+        n_factors += len(r["factors"])
+        assert len(covered_) == r["n_removed"]
+    assert n_factors > 50 and longer > n_factors / 2
+
+
 def test_many_small_buckets(spark, docs, monkeypatch):
     """Groups that straddle bucket boundaries are still found: a third of the texts is one text."""
     monkeypatch.setattr(repeats, "BUCKET_ROWS", 5)
