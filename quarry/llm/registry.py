@@ -23,4 +23,5 @@ ORACLE_SQL = {
     "op5_decontamination": decontaminate.OP5_SQL,
     "op6_embeddings": embeddings.OP6_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
+    "op9_suffix_array": suffix_dedup.OP9_SQL,
 }

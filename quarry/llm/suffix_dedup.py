@@ -49,3 +49,26 @@ def deduplicate(docs: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicate(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP9_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), s AS (
+  SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - 399)) AS i FROM d WHERE len(x) >= 800)
+), r AS (
+  SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY k) > 1
+), b AS (
+  SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 400, true) AS begins FROM r
+), n AS (
+  SELECT doc_id, i, sum(CAST(begins AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM b
+), p AS (
+  SELECT doc_id, span, min(i) AS lo, max(i) + 400 AS hi FROM n GROUP BY doc_id, span
+), q AS (
+  SELECT doc_id, span, lo, hi, x, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY span), 0) AS past FROM p JOIN d USING (doc_id)
+), k AS (
+  SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * past + 1, 2 * (lo - past)), '' ORDER BY span) || substr(any_value(x), 2 * max(hi) + 1) AS kept FROM q GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
