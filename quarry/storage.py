@@ -37,6 +37,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores if it comes from fewer files than that: a small file is one row group, and so one task."""
+    """``df`` dealt over all cores if it is read from a few small files: such a file is one row group, and so one task."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores // 2 else df
+    few = 0 < len(df.inputFiles()) < cores // 2 and df._jdf.queryExecution().toRdd().getNumPartitions() <= 4 * cores
+    return df.repartition(cores) if few else df
