@@ -182,6 +182,26 @@ def test_repeated_ids_and_empty_tables(spark, docs):
         assert f(empty).collect() == []
 
 
+def test_clashing_columns(spark):
+    """Columns named like the operators' own change nothing: ops 2, 3, 4, 6, 7, 9 and 10."""
+    from quarry.llm import toxicity
+
+    texts = ["a b c " * 40, "a b c " * 40, "", None, "x"]
+    plain = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    clash = plain
+    for name in ("uid", "tag", "z", "found", "edges", "fp", "node", "n_words", "n_bytes", "kept", "ids", "n_tokens", "size", "shard", "slot", "_cell", "_row", "_part", "score", "predicted", "component_id", "others"):
+        clash = clash.withColumn(name, F.lit("clash"))
+    as_docs = lambda df: df.withColumnRenamed("id", "doc_id")
+    model = toxicity.Model(weights={"a$": 1.0})
+    for f in (
+        suffix_dedup.deduplicate, substring_dedup.deduplicate, simhash.near_duplicates,
+        lambda df: bpe.round_trip(as_docs(df)), lambda df: sharding.shard(as_docs(df), 3, 8), lambda df: toxicity.score(df, model),
+    ):
+        assert sorted(map(str, f(clash).collect())) == sorted(map(str, f(plain).collect()))
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], "x", 5), (2, [1.0, 0.1], "y", 6)], "vec_id long, embedding array<double>, v string, node long")
+    assert {r["n_links"] for r in embeddings.near_duplicates(vectors).collect()} == {1}
+
+
 def test_kernels():
     r = np.random.default_rng(0)
     x = r.integers(0, 1 << 60, 1000).astype(np.uint64)
