@@ -49,5 +49,7 @@ def evaluate(run: DataFrame, qrels: DataFrame, ks=KS, distinct: bool = False) ->
 
 def nested(metrics: DataFrame, digits: int = 4) -> DataFrame:
     """(metric, values): a map from k to the rounded value."""
-    entries = F.array_sort(F.collect_list(F.struct("k", F.round("value", digits).alias("v"))))  # a handful
+    scaled = F.abs("value") * 10**digits  # a half is what the product says, as in SQL
+    rounded = F.signum("value") * (F.floor(scaled) + (scaled - F.floor(scaled) >= 0.5).cast("int")) / 10**digits
+    entries = F.array_sort(F.collect_list(F.struct("k", rounded.alias("v"))))  # a handful
     return metrics.groupBy("metric").agg(F.map_from_entries(entries).alias("values"))

@@ -30,8 +30,10 @@ def write_run(run: DataFrame, path: str) -> None:
 
 
 def metrics_json(metrics: DataFrame) -> DataFrame:
-    """(metric, json): ``{"k": value, ...}``, values rounded to 4 places."""
-    return nested(metrics).select("metric", F.to_json(F.transform_keys("values", lambda k, _: k.cast("string"))).alias("json"))
+    """(metric, json): ``{"k": value, ...}``, values rounded to 4 places and written without an exponent."""
+    plain = lambda v: F.coalesce(F.regexp_replace(v.cast("decimal(38,4)").cast("string"), r"(\.\d+?)0+$", "$1"), F.lit("null"))
+    entries = F.transform(F.map_entries("values"), lambda e: F.concat(F.lit('"'), e["key"].cast("string"), F.lit('":'), plain(e["value"])))
+    return nested(metrics).select("metric", F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")).alias("json"))
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

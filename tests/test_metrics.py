@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from quarry.operators import metrics
+from quarry.sources import sinks
 
 RUN = "query_id string, doc_id string, rank int"
 QRELS = "query_id string, doc_id string, relevance int"
@@ -54,3 +55,12 @@ def test_against_plain_python(spark, ranked, relevant):
 def test_nested(spark):
     m = spark.createDataFrame([("MRR", 10, 0.123456), ("MRR", 1, 0.5)], "metric string, k int, value double")
     assert metrics.nested(m).first()["values"] == {1: 0.5, 10: 0.1235}
+
+
+def test_small_values_are_written_as_sql_writes_them(spark):
+    """Below 0.001 a double's own text has an exponent."""
+    duckdb = pytest.importorskip("duckdb")
+    values = [0.0, 1.0, 0.5, 0.323, 0.0002, 0.0001, 0.00004, 0.00005, 0.12345, 0.00145, 0.00285, 0.000249999]
+    m = spark.createDataFrame([("MRR", k, v) for k, v in enumerate(values, 1)], "metric string, k int, value double")
+    said = [duckdb.execute("SELECT CAST(CAST(round(?::DOUBLE, 4) AS DOUBLE) AS VARCHAR)", [v]).fetchone()[0] for v in values]
+    assert sinks.metrics_json(m).first()["json"] == "{" + ",".join(f'"{k}":{x}' for k, x in enumerate(said, 1)) + "}"
