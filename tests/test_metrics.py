@@ -64,3 +64,17 @@ def test_small_values_are_written_as_sql_writes_them(spark):
     m = spark.createDataFrame([("MRR", k, v) for k, v in enumerate(values, 1)], "metric string, k int, value double")
     said = [duckdb.execute("SELECT CAST(CAST(round(?::DOUBLE, 4) AS DOUBLE) AS VARCHAR)", [v]).fetchone()[0] for v in values]
     assert sinks.metrics_json(m).first()["json"] == "{" + ",".join(f'"{k}":{x}' for k, x in enumerate(said, 1)) + "}"
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_judgements_by_class_equal_listed_ones(spark, distinct):
+    """Ids repeated in one class and in two, without a class, unknown to the run, alone in their class."""
+    docs = [(i, i % 3) for i in range(20)] + [(4, 1), (5, 0), (7, 1), (8, None), (30, 9)]
+    queries = [(0, 0), (4, 1), (4, 1), (5, 2), (5, 0), (8, 2), (8, None), (30, 9), (40, 1)]
+    run = [(q, (q * 7 + 3 * r) % 22, r) for q in (0, 4, 5, 8, 30, 40, 50) for r in range(1, 12)] + [(0, 3, 12), (0, 3, 13)]
+    listed = [(q, d, 1) for q, a in queries for d, b in docs if a is not None and a == b and q != d]
+    run = spark.createDataFrame(run, "query_id long, doc_id long, rank int")
+    want = metrics.per_query(run, spark.createDataFrame(listed, "query_id long, doc_id long, relevance int"), (1, 5, 100), distinct)
+    got = metrics.per_query_by_class(run, spark.createDataFrame(queries, "query_id long, class int"), spark.createDataFrame(docs, "doc_id long, class int"), (1, 5, 100), distinct)
+    rounded = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.collect())
+    assert rounded(got) == rounded(want)
