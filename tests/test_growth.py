@@ -46,3 +46,13 @@ def test_metrics_by_label_list_no_pairs(spark, one_label, duck, name):
     assert max(n for _, n in executed(df)) <= 30_000  # the run has as many rows
     found = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(found)
+
+
+@pytest.mark.parametrize("name", ["rerank_dense"])
+def test_no_pairs_are_joined(spark, one_label, duck, name):
+    """What is a part of all pairs is multiplied in tasks; a join only looks up ids."""
+    df = catalogue.QUERIES[name](spark, one_label)
+    assert max([n for node, n in executed(df) if "Join" in node], default=0) <= 3000
+    if name in catalogue.ORACLE_SQL:
+        found = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(tuple, df.collect())) == sorted(found)
