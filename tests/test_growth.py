@@ -48,7 +48,7 @@ def test_metrics_by_label_list_no_pairs(spark, one_label, duck, name):
     assert sorted(map(tuple, df.collect())) == sorted(found)
 
 
-@pytest.mark.parametrize("name", ["rerank_dense"])
+@pytest.mark.parametrize("name", ["rerank_dense", "dense_ann_topk", "rerank_maxsim", "maxsim_compressed_topk"])
 def test_no_pairs_are_joined(spark, one_label, duck, name):
     """What is a part of all pairs is multiplied in tasks; a join only looks up ids."""
     df = catalogue.QUERIES[name](spark, one_label)
