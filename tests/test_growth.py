@@ -3,7 +3,9 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from quarry.operators import lexical, sparse
 from quarry.plans import catalogue
 
 
@@ -56,3 +58,20 @@ def test_no_pairs_are_joined(spark, one_label, duck, name):
     if name in catalogue.ORACLE_SQL:
         found = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLE_SQL[name]})").fetchall()
         assert sorted(map(tuple, df.collect())) == sorted(found)
+
+
+def test_pruning_sorts_no_rows_and_equals_the_pruning_of_rows(spark):
+    """Ties at the cut, texts without a token, null ones, letters beyond ASCII."""
+    texts = ["b a c a", None, "", " ..", "é z É z y", "x " * 5 + "w w", "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weighted = lambda df: df.select("doc_id", F.col("term").alias("token"), F.col("tf").cast("double").alias("weight"))
+    got = weighted(lexical.term_counts(df, "doc_id", "text", 2))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sparse.prune(weighted(lexical.term_counts(df, "doc_id", "text")), 2, "doc_id").collect()))
+    assert sorted(map(tuple, got.collect())) == [(0, "a", 2.0), (0, "b", 1.0), (4, "z", 2.0), (4, "é", 2.0), (5, "w", 2.0), (5, "x", 5.0), (6, "one", 1.0)]
+
+
+def test_pruned_postings_of_the_tables_take_no_window(spark):
+    plan = catalogue.QUERIES["sparse_prune_topn"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
