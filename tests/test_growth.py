@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import lexical, sparse
+from quarry.operators import judge, lexical, sparse
 from quarry.plans import catalogue
 
 
@@ -75,3 +75,14 @@ def test_pruning_sorts_no_rows_and_equals_the_pruning_of_rows(spark):
 def test_pruned_postings_of_the_tables_take_no_window(spark):
     plan = catalogue.QUERIES["sparse_prune_topn"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_judgements_by_text_list_no_grams(spark):
+    """Grams over the edge of a text, empty pieces, repeated grams and texts, short queries; no row for each gram of a text."""
+    said = ["one two three four five six", "two three four five six seven!", "Zwei drei vier fünf sechs", "short one"]
+    texts = [" one two three four five six seven! ", "zero one two", "three four five six", said[0] + " " + said[0], "two  three four five six seven!", said[2], "a short one", None, ""] + ["x y z " * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = judge.containment(spark.createDataFrame(list(enumerate(said)), "query_id long, text string"), docs)
+    rows = executed(df)
+    assert sorted((r["query_id"], r["doc_id"]) for r in df.collect()) == sorted((q, d) for q, s in enumerate(said) for d, t in enumerate(texts) if t is not None and s in t)
+    assert max(n for _, n in rows) < 100
