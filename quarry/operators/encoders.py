@@ -84,9 +84,9 @@ def encode(df: DataFrame, encoder: Encoder, id_col: str = "id", text_col: str =
 
     def run(batches):
         for rows in batches:
-            texts = [t or "" for t in rows.column(1).to_pylist()]
-            for at in range(0, len(texts), batch):
-                v = np.asarray(sent.value.encode(texts[at : at + batch]), np.float32)
+            for at in range(0, rows.num_rows, batch):
+                texts = [t or "" for t in rows.column(1).slice(at, batch).to_pylist()]  # as Python strings only a batch at a time
+                v = np.asarray(sent.value.encode(texts), np.float32)
                 yield pa.RecordBatch.from_arrays([rows.column(0).slice(at, batch), pa.array(list(v), pa.list_(pa.float32()))], names=["id", "v"])
 
     kind = df.schema[id_col].dataType.simpleString()
